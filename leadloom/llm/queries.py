@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadloom.llm.address import resolve_addresses, same_place_pairs
+from leadloom.llm.matching import cross_source_pairs, employer_records, match_employers
+from leadloom.llm.names import entity_pairs, name_entities, place_of
 from leadloom.llm.scripts import confusable_values
 from leadloom.llm.survivor import surviving_values
 from leadloom.session import table
@@ -13,6 +17,49 @@ from leadloom.session import table
 CONTACTS = ["employer_email", "employer_website", "employer_phone"]
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record, address, context) of hotels, agencies and jobs."""
+    parts = [
+        ("omh_hoteli", "hotel:", "hotel_id", "address", "city"),
+        ("gelbeseiten_agencies", "agency:", "agency_id", "address", "city"),
+        ("jobs", "job:", "id", "employer_address", "location"),
+    ]
+    out = None
+    for name, prefix, key, address, context in parts:
+        part = table(spark, sf_dir, name).select(
+            F.concat(F.lit(prefix), F.col(key).cast("string")).alias("record"),
+            F.col(address).alias("address"),
+            F.col(context).alias("context"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_addresses(_addresses(spark, sf_dir), "record", "address", "context")
+    return same_place_pairs(resolved, "record", "address")
+
+
+def p1_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_addresses(_addresses(spark, sf_dir), "record", "address", "context")
+    return resolved.select("record", "street", "house", "town", "place")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employers of both Croatian listings bridge spellings; only leads and hzz jobs are paired."""
+    leads = table(spark, sf_dir, "hzz_ugostitelji_radnici_u_turizmu").select(
+        F.concat(F.lit("l"), F.col("lead_id").cast("string")).alias("rid"), "lead_id", "company",
+        place_of(F.col("city")).alias("place"),
+    )
+    jobs = table(spark, sf_dir, "jobs").where(F.col("source").isin("hzz", "mojposao")).select(
+        F.concat(F.lit("j"), F.col("id")).alias("rid"), F.col("id").alias("job_id"), "source", "company",
+        place_of(F.col("location"), F.col("employer_address")).alias("place"),
+    )
+    both = leads.select("rid", "company", "place").unionByName(jobs.select("rid", "company", "place"))
+    entities = name_entities(both, "rid", "company", "place")
+    return entity_pairs(entities, leads, jobs.where("source = 'hzz'"), "lead_id", "job_id", "company")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "jobs")
     return confusable_values(jobs, "id", ["company", "title", "location"], "job_id").select("job_id", "field_name")
@@ -23,6 +70,33 @@ def p3_plain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable_values(jobs, "id", ["company", "title", "location"], "job_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = match_employers(employer_records(table(spark, sf_dir, "jobs")))
+    return cross_source_pairs(members).select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with a confidence: the pair's own probability, else the weakest link of its entity."""
+    members, links = match_employers(employer_records(table(spark, sf_dir, "jobs")))
+    linked = links.where("probability >= 0.5")
+    weakest = (
+        linked.join(members.select(F.col("mention").alias("mention_a"), "entity").distinct(), "mention_a")
+        .groupBy("entity").agg(F.min("probability").alias("weakest"))
+    )
+    direct = linked.unionByName(
+        linked.select(F.col("mention_b").alias("mention_a"), F.col("mention_a").alias("mention_b"), "probability")
+    )
+    confidence = F.coalesce(
+        "probability", F.when(F.col("mention_a") == F.col("mention_b"), F.lit(1.0)), "weakest", F.lit(1.0)
+    )
+    return (
+        cross_source_pairs(members)
+        .join(direct, ["mention_a", "mention_b"], "left")
+        .join(weakest, "entity", "left")
+        .select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"), confidence.alias("confidence"))
+    )
+
+
 def _group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "jobs").withColumnRenamed("id", "job_id")
     return table(spark, sf_dir, "job_groups").join(jobs.select("job_id", "updated_at", *CONTACTS), "job_id")
@@ -38,8 +112,13 @@ def p7_consensus_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_places": p1_places,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_plain_values": p3_plain_values,
+    "p5_found": p5_found,
+    "p5_confidence": p5_confidence,
     "p7_found": p7_found,
     "p7_consensus_values": p7_consensus_values,
 }
