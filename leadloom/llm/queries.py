@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.address import resolve_addresses, same_place_pairs
+from leadloom.llm.leakage import leaked_items
 from leadloom.llm.matching import cross_source_pairs, employer_records, match_employers
 from leadloom.llm.names import entity_pairs, name_entities, place_of
+from leadloom.llm.packing import pack, token_count
+from leadloom.llm.prose import keyword_pages
 from leadloom.llm.scripts import confusable_values
 from leadloom.llm.survivor import surviving_values
 from leadloom.session import table
@@ -111,6 +114,30 @@ def p7_consensus_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surviving_values(_group_members(spark, sf_dir), "group_id", "job_id", CONTACTS, "updated_at", "support")
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", token_count(F.col("text")).alias("n"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of 2,048 tokens."""
+    return pack(_measured(spark, sf_dir), "doc_id", "n", (2_048,))
+
+
+def p8_mixed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of four permitted sizes."""
+    return pack(_measured(spark, sf_dir), "doc_id", "n", (512, 1_024, 2_048, 4_096))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_places": p1_places,
@@ -121,6 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_confidence": p5_confidence,
     "p7_found": p7_found,
     "p7_consensus_values": p7_consensus_values,
+    "p8_containers": p8_containers,
+    "p8_mixed_containers": p8_mixed_containers,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {}
