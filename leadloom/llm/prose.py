@@ -5,8 +5,9 @@ sequence of word classes: frequent prose words stand for themselves, which keeps
 for their case and ending, and links, tags, numbers and marks for their kind. An interpolated 3-gram model over
 these classes is trained on prose: first on the units that are built like sentences, then once more on all units
 of the texts that the first model finds to be mostly prose, so that headings, requirement lists or time tables
-count as normal. A unit whose perplexity is far outside that of the training units is abnormal, and a page is
-flagged if abnormal units hold more than half of its characters.
+count as normal. A unit whose perplexity is far outside that of the sentences is abnormal if its content words
+keep coming back in the text, or if its perplexity alone is out of all proportion; rare but varied prose is
+neither. A page is flagged if abnormal units hold more than half of its characters.
 
 Vocabulary and n-gram tables count the texts that contain an entry, over all texts, so a page that repeats
 itself counts once. An n-gram must stand in at least ``RARE`` of all texts (and in two), rarer ones are scored
@@ -19,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from leadloom.session import cut
 
-WORDS, GRAMS = 4_000, 200_000
+WORDS, FUNCTION_WORDS, GRAMS = 4_000, 150, 200_000
 RARE = 0.001
 WEIGHTS = (0.62, 0.28, 0.09)  # of 3-, 2- and 1-grams; the rest is spread evenly over all classes
 CLASSES = 20_000.0
@@ -35,45 +37,56 @@ _TOKEN = re.compile(
     r"<a\s[^>]*>|</?[a-z][^>]*>|https?://\S+|www\.\S+|\]\([^)\s]*\)|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[#@]\w+|\d+(?:[.,:]\d+)*|[^\W\d_]+|[^\w\s]"
 )
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_LETTER, _UPPER = re.compile(r"[^\W\d_]"), re.compile(r"[A-ZÀ-ÖØ-ÞČĆĐŠŽА-Я]")
 _WORDLIKE = re.compile(r"[^\W\d_]+\Z")
 
 
-def units(text: str) -> list[str]:
+class Unit(NamedTuple):
+    size: int  # characters
+    tokens: list[str]
+    sentence: bool
+
+
+def _unit(text: str, tokens: list[str]) -> Unit:
+    """A sentence has a capital first, a stop last, six words at least, and few links and marks inside."""
+    s = text.strip()
+    sentence = False
+    if len(tokens) >= 7 and s[-1] in ".!?" and s[0].isupper():
+        words = sum(1 for t in tokens if t.isalpha())
+        sentence = words >= 6 and words >= 0.7 * len(tokens)
+    # shouting says nothing about the words
+    if s[:1].isupper() and sum(map(str.isupper, s)) > 0.5 * sum(map(str.isalpha, s)):
+        tokens = [t.lower() for t in tokens]
+    return Unit(len(text), tokens, sentence)
+
+
+def units(text: str) -> list[Unit]:
     """Lines and their sentences; runs of lines with fewer than four tokens are joined up to twelve."""
-    out: list[str] = []
+    out: list[Unit] = []
     held: list[str] = []
-    size = 0
-    for line in text.splitlines():
+    held_tokens: list[str] = []
+    for line in text.replace("**", "").splitlines():
         if not line.strip():
             continue
-        n = len(_TOKEN.findall(line)) if len(line) < 80 else 99
-        if n < 4:
-            held.append(line)
-            size += n
-            if size >= 12:
-                out.append("\n".join(held))
-                held, size = [], 0
-            continue
+        if len(line) < 80:
+            tokens = _TOKEN.findall(line)
+            if len(tokens) < 4:
+                held.append(line)
+                held_tokens += tokens
+                if len(held_tokens) >= 12:
+                    out.append(_unit("\n".join(held), held_tokens))
+                    held, held_tokens = [], []
+                continue
         if held:
-            out.append("\n".join(held))
-            held, size = [], 0
-        out.extend(s for s in _SENTENCE.split(line) if s.strip())
+            out.append(_unit("\n".join(held), held_tokens))
+            held, held_tokens = [], []
+        for s in _SENTENCE.split(line):
+            if tokens := _TOKEN.findall(s):
+                out.append(_unit(s, tokens))
     if held:
-        out.append("\n".join(held))
+        out.append(_unit("\n".join(held), held_tokens))
     return out
 
 
-def is_sentence(unit: str) -> bool:
-    """Built like a sentence: a capital first, a stop last, six words at least, no links and few marks inside."""
-    s = unit.strip()
-    if not s or s[-1] not in ".!?" or not s[0].isupper():
-        return False
-    tokens = _TOKEN.findall(s)
-    words = sum(1 for t in tokens if _WORDLIKE.match(t))
-    return words >= 6 and words >= 0.7 * len(tokens)
-
-
 def word_class(token: str, known: frozenset[str] | set[str]) -> str:
     c = token[0]
     if c.isalpha() and _WORDLIKE.match(token):
@@ -92,7 +105,10 @@ def word_class(token: str, known: frozenset[str] | set[str]) -> str:
 
 
 class Classes(dict):
-    """Word class of every token met so far."""
+    """Word class of every token met so far; travels without its memory."""
+
+    def __reduce__(self):  # noqa: ANN204
+        return Classes, (self.known,)
 
     def __init__(self, known: frozenset[str]):
         super().__init__()
@@ -104,11 +120,8 @@ class Classes(dict):
             self[token] = c
         return c
 
-    def of(self, unit: str) -> list[str]:
-        unit = unit.replace("**", "")
-        if 2 * len(_UPPER.findall(unit)) > len(_LETTER.findall(unit)):  # shouting says nothing about the words
-            unit = unit.lower()
-        return ["<s>", "<s>", *[self[t] for t in _TOKEN.findall(unit)], "</s>"]
+    def of(self, tokens: list[str]) -> list[str]:
+        return ["<s>", "<s>", *[self[t] for t in tokens], "</s>"]
 
 
 class ClassModel:
@@ -120,9 +133,10 @@ class ClassModel:
         self.total = max(1, sum(n for g, n in grams.items() if " " not in g))
         self.texts = max(1, texts)
         self.cost: dict[tuple[str, str, str], float] = {}
+        self.function_words: frozenset[str] = frozenset()
 
-    def __reduce__(self):  # noqa: ANN204
-        return ClassModel, (self.classes.known, self.grams, self.texts)
+    def __getstate__(self):  # noqa: ANN204
+        return self.__dict__ | {"cost": {}, "classes": Classes(self.classes.known)}
 
     def _cost(self, u: str, v: str, w: str) -> float:
         a, b, c = WEIGHTS
@@ -134,9 +148,17 @@ class ClassModel:
             p += a * n / max(n, self.texts if v == "<s>" else grams.get(f"{u} {v}", n))
         return -math.log2(min(p, 1.0))
 
-    def bits(self, unit: str) -> tuple[float, int]:
-        """(code length of the unit, number of coded tokens)."""
-        seq = self.classes.of(unit)
+    def mean_bits(self) -> float:
+        """Bits per token over the counted 3-grams."""
+        bits = n = 0.0
+        for g, k in self.grams.items():
+            if len(parts := g.split(" ")) == 3:
+                bits, n = bits + k * self._cost(*parts), n + k
+        return bits / n if n else 0.0
+
+    def bits(self, tokens: list[str]) -> float:
+        """Bits per token of a unit."""
+        seq = self.classes.of(tokens)
         cost, out = self.cost, 0.0
         for key in zip(seq, seq[1:], seq[2:], strict=False):
             x = cost.get(key)
@@ -145,7 +167,7 @@ class ClassModel:
                 if len(cost) < 1_000_000:
                     cost[key] = x
             out += x
-        return out, len(seq) - 2
+        return out / (len(seq) - 2)
 
 
 def _add_grams(acc: Counter, seqs: Iterable[list[str]]) -> None:
@@ -173,14 +195,14 @@ def _table(acc: Counter, name: str) -> pd.DataFrame:
     return pd.DataFrame({name: list(acc), "n": list(acc.values())}).astype({name: "object", "n": "int64"})
 
 
-def train(texts: DataFrame) -> tuple[ClassModel, float, float]:
-    """Model, and mean and deviation of the bits per token of its training units. ``texts`` has one column ``text``."""
+def train(texts: DataFrame, margin: float = 5.0) -> ClassModel:
+    """The class model of a frame with one column ``text``; ``margin`` bits above the mean is abnormal in round one."""
 
     def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                acc.update({w for u in units(t) if is_sentence(u) for w in _TOKEN.findall(u.lower()) if _WORDLIKE.match(w)})
+                acc.update({w.lower() for u in units(t) if u.sentence for w in u.tokens if w.isalpha()})
         yield _table(acc, "word")
 
     n_texts = texts.count()
@@ -189,80 +211,73 @@ def train(texts: DataFrame) -> tuple[ClassModel, float, float]:
         texts.mapInPandas(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS)
     )
-    known = frozenset(r["word"] for r in top.toLocalIterator())
+    ranked = [r["word"] for r in top.toLocalIterator()]
+    known = frozenset(ranked)
 
     def first(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc, cls = Counter(), Classes(known)
         for b in batches:
             for t in b["text"]:
-                _add_grams(acc, (cls.of(u) for u in units(t) if is_sentence(u)))
+                _add_grams(acc, (cls.of(u.tokens) for u in units(t) if u.sentence))
         yield _table(acc, "gram")
 
     grams = "gram string, n bigint"
     model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(first, grams)), least), n_texts)
-    mean, dev = _spread(texts, model)
+    far = model.mean_bits() + margin
 
     def second(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = Counter()
         for b in batches:
             for t in b["text"]:
                 us = units(t)
-                if abnormal_share(us, model, mean, dev) < 0.5:
-                    _add_grams(acc, (model.classes.of(u) for u in us))
+                if 2 * sum(u.size for u in us if model.bits(u.tokens) > far) < sum(u.size for u in us):
+                    _add_grams(acc, (model.classes.of(u.tokens) for u in us))
         yield _table(acc, "gram")
 
     model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(second, grams)), least), n_texts)
-    return model, *_spread(texts, model)
+    model.function_words = frozenset(ranked[:FUNCTION_WORDS])
+    return model
 
 
-def _spread(texts: DataFrame, model: ClassModel) -> tuple[float, float]:
-    """Mean and deviation of the bits per token of sentence-like units."""
+def echoes(us: list[Unit], function_words: frozenset[str]) -> list[float]:
+    """For each unit, the share of its content words that the whole text uses three times or more."""
+    content = [[w for t in u.tokens if t.isalpha() and (w := t.lower()) not in function_words] for u in us]
+    uses = Counter(w for ws in content for w in ws)
+    return [sum(uses[w] > 2 for w in ws) / len(ws) if ws else 0.0 for ws in content]
 
-    def stats(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = s = q = 0.0
-        for b in batches:
-            for t in b["text"]:
-                for u in units(t):
-                    if is_sentence(u):
-                        bits, k = model.bits(u)
-                        x = bits / k
-                        n, s, q = n + 1, s + x, q + x * x
-        yield pd.DataFrame({"n": [n], "s": [s], "q": [q]})
-
-    r = texts.mapInPandas(stats, "n double, s double, q double").agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
-    if not r[0]:
-        return 0.0, 0.0
-    mean = r[1] / r[0]
-    return mean, math.sqrt(max(r[2] / r[0] - mean * mean, 0.0))
-
-
-def abnormal_share(us: list[str], model: ClassModel, mean: float, dev: float, far: float = 4.5) -> float:
-    """Share of the characters that stand in units of abnormally high or low perplexity."""
-    all_chars = bad = 0
-    for u in us:
-        bits, k = model.bits(u)
-        size = len(u)
-        all_chars += size
-        if abs(bits / k - mean) > far * dev + 0.5:
-            bad += size
-    return bad / all_chars if all_chars else 0.0
-
-
-def keyword_pages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.5) -> DataFrame:
+
+def keyword_pages(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.5, far: float = 4.5, beyond: float = 2.0
+) -> DataFrame:
     """(<id>, abnormal_share) of the texts that are mostly keywords, tags or links.
 
-    NULL and blank texts are never flagged; texts are read whole; repeated rows each give their own row; a table
-    without any sentence flags nothing; extra columns are ignored. Every pass is a map over the scan with
-    partial counts, so no text is shuffled.
+    A unit is abnormal if its bits per token are more than ``far`` deviations away from the mean of all sentences
+    and a third of its content words are repeated in the text, or ``beyond`` bits further away. NULL and blank texts are never flagged; texts are read whole; repeated rows each give their
+    own row; a table without any sentence flags nothing; extra columns are ignored. Every pass is a map over the
+    scan with partial counts, so no text is shuffled.
     """
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    model, mean, dev = train(texts)
-
-    def score(ts: pd.Series) -> pd.Series:
-        return pd.Series([abnormal_share(units(t), model, mean, dev) if dev else 0.0 for t in ts], dtype="float64")
-
-    return (
-        docs.where(F.col(text).isNotNull())
-        .select(F.col(id_col), F.pandas_udf(score, "double")(F.col(text)).alias("abnormal_share"))
-        .where(F.col("abnormal_share") > share)
+    source = docs.where(F.col(text).isNotNull())
+    model = train(source.select(F.col(text).alias("text")))
+
+    def measure(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            us = units(t)
+            echo = echoes(us, model.function_words)
+            out.append([(u.size, model.bits(u.tokens), e, u.sentence) for u, e in zip(us, echo, strict=True)])
+        return pd.Series(out)
+
+    kind = "array<struct<size:int,bits:double,echo:double,sentence:boolean>>"
+    scored = cut(source.select(F.col(id_col), F.pandas_udf(measure, kind)(F.col(text)).alias("units")))
+    bits = scored.select(F.explode("units").alias("u")).where("u.sentence").agg(
+        F.avg("u.bits").alias("mean"), F.stddev_pop("u.bits").alias("dev")
+    ).first()
+    if bits["mean"] is None:
+        return scored.select(id_col, F.lit(0.0).alias("abnormal_share")).where(F.lit(False))
+    limit = far * bits["dev"] + 0.5
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, u: a + u["size"])
+    away = lambda u: F.abs(u["bits"] - bits["mean"])
+    odd = F.filter("units", lambda u: (away(u) > limit) & ((u["echo"] > 1 / 3) | (away(u) > limit + beyond)))
+    return scored.select(id_col, F.try_divide(total(odd), total(F.col("units"))).alias("abnormal_share")).where(
+        F.col("abnormal_share") > share
     )
