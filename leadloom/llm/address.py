@@ -7,8 +7,9 @@
    inverted index is built from each vector's prefix, its rarest grams up to the point where the rest cannot
    reach the cosine threshold any more; postings are keyed by house number and gram.
 3. Pairs that meet in a posting are verified: cosine, equal house number, and street and town spellings that
-   differ by typing errors only. Two street spellings that occur in about as many towns (``rare``: the lesser in
-   a quarter of the other's or more, and in three at least) are names of different streets.
+   differ by typing errors only. Two street spellings that are both widespread (found in a share of
+   ``established`` of all towns, in three at least, and the lesser in a quarter of the other's) are names of
+   different streets.
 4. Each reading follows its best-established verified neighbour (pointer jumping over the checkpointed links);
    readings with the same representative are one place.
 """
@@ -209,7 +210,7 @@ def same_spelling(a: str, b: str, per: int = 6) -> bool:
 
 
 def resolve_addresses(
-    records: DataFrame, id_col: str, address: str, context: str, threshold: float = 0.5, rare: float = 0.25
+    records: DataFrame, id_col: str, address: str, context: str, threshold: float = 0.4, established: float = 0.02
 ) -> DataFrame:
     """(<id>, <address>, street, house, town, place): ``place`` is equal for addresses that mean one place.
 
@@ -237,6 +238,7 @@ def resolve_addresses(
         .join(spread, "street")
         .withColumn("kid", F.xxhash64("street", "house", "town"))
     )
+    widespread = max(3.0, established * readings.select("town").distinct().count())
     vectors = GramVectors(_weights(readings), threshold)
 
     def prefixes(streets: pd.Series, towns: pd.Series) -> pd.Series:
@@ -257,7 +259,7 @@ def resolve_addresses(
             & (F.abs(F.length("town_a") - F.length("town_b")) <= 2)
             & (
                 (F.col("street_a") == F.col("street_b"))
-                | (F.least("n_towns_a", "n_towns_b") < F.greatest(F.lit(3), rare * F.greatest("n_towns_a", "n_towns_b")))
+                | (F.least("n_towns_a", "n_towns_b") < F.greatest(F.lit(widespread), 0.25 * F.greatest("n_towns_a", "n_towns_b")))
             )
         )
         .drop("gram")

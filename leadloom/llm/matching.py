@@ -39,6 +39,9 @@ BANDS, ROWS = 12, 2
 _MIX = np.random.default_rng(20_260_101).integers(1, 2**63 - 1, size=(2, BANDS * ROWS), dtype="int64").astype("uint64")
 NAME_VIEW = ["same_1", "same_2", "err_1", "err_2", "similarity"]
 CONTACT_VIEW = ["host", "phone", "email", "no_host", "no_phone", "no_email"]
+# intercept first
+NAME_START = (-3.0, 4.0, 5.0, 4.0, 3.0, 0.0)
+CONTACT_START = (-1.0, 3.0, 2.0, 3.0, -1.0, -0.5, -0.5)
 
 
 def minhash_bands(word: str) -> list[int]:
@@ -71,25 +74,34 @@ def _name_features(words_a: list, n_a: list, words_b: list, n_b: list) -> tuple[
 
 
 class Logistic:
-    """Ridge logistic regression by Newton steps, with a positive-unlabelled calibration factor."""
+    """Logistic regression by Newton steps, with a positive-unlabelled calibration factor.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, sure: np.ndarray, ridge: float = 1.0):
+    The weights have a unit Gaussian prior around ``start``, which decides alone where there is nothing to learn from
+    and fades with the number of pairs.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, sure: np.ndarray, start: tuple[float, ...]):
         x1 = np.hstack([np.ones((len(x), 1)), x])
-        self.w = np.zeros(x1.shape[1])
-        if len(x):
-            penalty = np.eye(x1.shape[1]) * ridge
-            penalty[0, 0] = 1e-3
-            for _ in range(25):
-                p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ self.w, -30, 30)))
-                step = np.linalg.solve(
-                    (x1 * (p * (1 - p))[:, None]).T @ x1 + penalty, x1.T @ (y - p) - penalty @ self.w
-                )
-                self.w += step
-                if np.abs(step).max() < 1e-6:
-                    break
-        self.prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 0.999))
+        w0 = np.array(start)
+
+        def loss(w: np.ndarray) -> float:
+            z = x1 @ w
+            return float(np.logaddexp(0.0, z).sum() - y @ z + 0.5 * ((w - w0) ** 2).sum())
+
+        self.w = w0.copy()
+        for _ in range(100):
+            p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ self.w, -30, 30)))
+            hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.eye(len(w0))
+            step = np.linalg.solve(hessian, x1.T @ (y - p) - (self.w - w0))
+            now, scale = loss(self.w), 1.0
+            while scale > 1e-6 and loss(self.w + scale * step) > now:
+                scale /= 2
+            self.w = self.w + scale * step
+            if np.abs(scale * step).max() < 1e-6:
+                break
+        self.prior = (y.sum() + 6.0) / (len(y) + 20.0)
         # share of true pairs that carry the label, estimated where there is no doubt
-        self.rate = float(np.clip(y[sure].mean() if sure.any() else 1.0, 0.05, 1.0))
+        self.rate = float(np.clip((y[sure].sum() + 16.0) / (sure.sum() + 20.0), 0.05, 1.0))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         p = 1.0 / (1.0 + np.exp(-np.clip(np.hstack([np.ones((len(x), 1)), x]) @ self.w, -30, 30)))
@@ -105,8 +117,8 @@ def fit_views(sample: pd.DataFrame) -> tuple[Logistic, Logistic]:
     shared = contact[:, :3].sum(axis=1)
     alike = name[:, 0] + name[:, 1]
     return (
-        Logistic(name, (shared > 0).astype(float), name[:, 1] > 0),
-        Logistic(contact, (alike > 0).astype(float), shared > 1),
+        Logistic(name, (shared > 0).astype(float), name[:, 1] > 0, NAME_START),
+        Logistic(contact, (alike > 0).astype(float), shared > 1, CONTACT_START),
     )
 
 
