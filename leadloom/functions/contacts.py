@@ -21,7 +21,7 @@ def blank_to_null(c: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host without scheme, ``www.``, user, port, path, query or fragment; NULL if blank."""
-    bare = F.regexp_replace(F.lower(blank_to_null(url)), r"^[a-z][a-z0-9+.-]*:/*", "")
+    bare = F.regexp_replace(F.lower(blank_to_null(url)), r"^[a-z][a-z0-9+.-]*:/+", "")
     bare = F.regexp_replace(bare, r"[/?#].*$", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^[^@]*@", ""), r":\d+$", "")
     return F.nullif(F.regexp_replace(bare, r"^www\.", ""), F.lit(""))

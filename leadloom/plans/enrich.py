@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.extract import email_candidates, is_email
@@ -57,8 +57,8 @@ def score_email(email: Column, text: Column, page_url: Column, company: Column,
 
     def around(i: Column) -> Column:
         """120 characters either side of the i-th occurrence, rebuilt from the pieces."""
-        prefix = F.array_join(F.slice(pieces, 1, i), mail)
-        suffix = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), mail)
+        prefix = F.call_function("array_join", F.slice(pieces, 1, i), mail)
+        suffix = F.call_function("array_join", F.slice(pieces, i + 1, F.size(pieces)), mail)
         before = F.substring(prefix, F.greatest(F.length(prefix) - SPAN + 1, F.lit(1)), F.lit(SPAN))
         return F.concat(before, mail, F.substring(suffix, 1, SPAN))
 
@@ -98,8 +98,6 @@ def ranked_emails(pages: DataFrame, page_id: str, text: str, url: str, company:
     )
     order = F.struct((-F.col("score")).alias("s"), F.length("email").alias("l"), F.col("email").alias("e"))
     accepted = domains_match(F.lower(F.substring_index("email", "@", -1)), F.col("_host")) | (F.col("score") >= ACCEPT_SCORE)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(page_id).orderBy(order)
     return scored.select(page_id, "email", "score", F.row_number().over(w).alias("rank"), accepted.alias("accepted"))
 
