@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import clean_or_null, company_key, fold, parse_date
 from leadloom.operators.dedupe import drop_reasons, first_by_key
+from leadloom.operators.upsert import upsert
+from leadloom.sources.raw import raw_items
 
 JOB_COLUMNS = (
     "title company location category detail_url source published_at employer_website employer_email employer_address "
@@ -88,3 +90,21 @@ def run_summary(classified: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("reason") == "invalid").alias("failed_count"),
         F.count_if(F.col("reason") == "excluded").alias("excluded_count"),
     )
+
+
+def ingest(payloads: DataFrame, stored: DataFrame, source: str, order: list[Column], limit: int | None = None, payload: str = "job_payload") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, snapshots, classified) of one delivery of a source.
+
+    Raw items are normalised and classified in one pass; valid ones are limited by company, then upserted into
+    ``stored`` (the last of a listing in ``order`` wins, known addresses are kept) and written as snapshot rows of
+    raw item and canonical fields. ``classified`` feeds ``run_summary``.
+    """
+    items = normalized(raw_items(payloads, payload, source), source)
+    flat = items.select("*", *[F.col(f"job.{c}").alias(c) for c in JOB_COLUMNS if c not in payloads.columns])
+    classified = classify(flat)
+    valid = limit_companies(classified.where("reason = 'valid'"), order, limit)
+    jobs = upsert(
+        stored, valid, ["source", "detail_url"], order, preserve=["employer_email", "employer_phone", "employer_address", "employer_website"]
+    )
+    snapshots = valid.select("source", "detail_url", snapshot_payload(F.col("raw"), F.col("job"), JOB_COLUMNS).alias(payload))
+    return jobs, snapshots, classified

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,13 @@ from pyspark.sql import functions as F
 
 from leadloom.plans.registry import Registry
 from leadloom.plans.table_queries import ORACLE as TABLE_SQL
-from leadloom.session import ensure_checkpoint_dir, table
+from leadloom.session import shared_folder, table
 from leadloom.streaming.admission import admit_stream
 from leadloom.streaming.incremental import append_raw, final_rows
 
 R = Registry()
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A fresh folder beside the checkpoints, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"stream-{uuid.uuid4().hex}")
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
@@ -31,7 +24,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @R.add(TABLE_SQL["sliding_log_admission"])
 def streaming_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The admission query as a stream; its decisions equal those of the batch form."""
-    folder = _work_folder(spark)
+    folder = shared_folder(spark, "stream")
     out = admit_stream(_stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86_400)
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
         availableNow=True
@@ -42,7 +35,7 @@ def streaming_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT event_type, min(event_id) AS first_id FROM events GROUP BY 1")
 def streaming_append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows appended batch by batch, de-duplicated at the end."""
-    folder = _work_folder(spark)
+    folder = shared_folder(spark, "stream")
     append_raw(_stream(spark, sf_dir, "events"), f"{folder}/raw", f"{folder}/state").awaitTermination()
     rows = final_rows(spark, f"{folder}/raw", F.col("event_type"), [F.col("event_id")])
     return rows.select("event_type", F.col("event_id").alias("first_id"))

@@ -14,8 +14,8 @@ from leadloom.operators.upsert import append_new, update_from, upsert
 from leadloom.plans import enrich, ingest
 from leadloom.plans import sqltext as S
 from leadloom.plans.registry import Registry
-from leadloom.session import table
-from leadloom.sources.csvio import exclusion_lists
+from leadloom.session import shared_folder, table
+from leadloom.sources.csvio import exclusion_lists, read_csv, write_csv
 from leadloom.sources.raw import raw_items
 
 R = Registry()
@@ -615,6 +615,34 @@ def append_unknown(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("detail_url").alias("listings"))
 
 
+@R.add(
+    f"""WITH b AS (SELECT detail_url, {_v('title')} AS title, coalesce({_v('employer_email')}, {_v('email')}) AS mail,
+      row_number() OVER (PARTITION BY {_v('detail_url')} ORDER BY scraped_at DESC, id DESC) AS rn FROM job_snapshots
+      WHERE source = 'meinestadt' AND {_v('detail_url')} IS NOT NULL AND NOT regexp_matches({S.fold(_v('company'))}, '\\b(skola|vrtic)\\b')),
+    n AS (SELECT * FROM b WHERE rn = 1), s AS (SELECT * FROM jobs WHERE source = 'meinestadt')
+    SELECT coalesce(s.detail_url, n.detail_url) AS detail_url, CASE WHEN n.rn = 1 THEN n.title ELSE s.title END AS title, coalesce(n.mail, s.employer_email) AS employer_email,
+      s.email_send_count FROM s FULL OUTER JOIN n ON n.detail_url = s.detail_url"""
+)
+def ingest_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """All deliveries of one source taken into the job table."""
+    rows = table(spark, d, "job_snapshots").where("source = 'meinestadt'").select("job_payload", "scraped_at", c("id").alias("snapshot_id"))
+    stored = table(spark, d, "jobs").where("source = 'meinestadt'").select(
+        "source", "detail_url", "title", "company", "employer_email", "employer_phone", "employer_address", "employer_website", "email_send_count"
+    )
+    jobs, _, _ = ingest.ingest(rows, stored, "meinestadt", [F.desc("scraped_at"), F.desc("snapshot_id")])
+    return jobs.select("detail_url", "title", "employer_email", "email_send_count")
+
+
+@R.add(f"SELECT lead_id, coalesce(email, '') AS email, coalesce(company, '') AS company, coalesce(city, '') AS city FROM hzz_ugostitelji_radnici_u_turizmu")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Leads written as a quoted CSV into the shared folder and read back."""
+    folder = shared_folder(spark, "csv")
+    leads = table(spark, d, "hzz_ugostitelji_radnici_u_turizmu").select("lead_id", "email", "company", "city")
+    write_csv(leads, folder)
+    back = read_csv(spark, folder, ["lead_id", "email", "company", "city"], missing_as_empty=True)
+    return back.select(c("lead_id").cast("long").alias("lead_id"), "email", "company", "city")
+
+
 _ADMIT = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   s AS (SELECT event_id, user_id, rn, true AS admitted, [t] AS log FROM e WHERE rn = 1
     UNION ALL SELECT e.event_id, e.user_id, e.rn, len(list_filter(s.log, lambda x: x > e.t - 86400000000)) < 3,

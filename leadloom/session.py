@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder name beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{kind}-{uuid.uuid4().hex}")

@@ -13,7 +13,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
 
     With ``columns`` the schema is fixed and no file is opened to infer it; a header-only file gives no rows.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False)
     if columns:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     out = reader.csv(path)
@@ -24,7 +26,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, all fields quoted, NULL as the empty text; one folder of part files."""
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write.mode(mode).option(
         "header", True
-    ).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    ).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
 
 
 def exclusion_lists(frames: list[DataFrame], email: str = "email", company: str = "company") -> tuple[DataFrame, DataFrame]:
