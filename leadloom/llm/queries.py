@@ -154,4 +154,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
-ORACLE: dict[str, str] = {}
+_LABEL = r"[\p{L}\p{N}]([\p{L}\p{N}-]*[\p{L}\p{N}])?"
+_HOST = rf"({_LABEL}\.)+\p{{L}}{{2,24}}"
+_ASSET = r"\.(png|jpe?g|gif|webp|svg|ico|bmp|tiff?|css|js|pdf)$"
+_PORTAL = r"(^|\.)(hzz|mojposao|meinestadt|gelbeseiten)\.example$"
+
+# The same rows by the plain definition: latest row among the usable ones.
+P7_SQL = rf"""
+WITH m AS (
+  SELECT g.group_id, j.id AS job_id, j.updated_at, unnest(['employer_email', 'employer_website', 'employer_phone']) AS field_name,
+         unnest([j.employer_email, j.employer_website, j.employer_phone]) AS v
+  FROM job_groups g JOIN jobs j ON j.id = g.job_id
+), t AS (
+  SELECT *, regexp_replace(v, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS s, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM m WHERE v IS NOT NULL
+), h AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(s), '^[a-z][a-z0-9+.-]*:/+', ''), '[/?#].*$', ''), '^www\.', '') AS host,
+         regexp_replace(lower(s), '^mailto:', '') AS mail FROM t
+), u AS (
+  SELECT *, CASE field_name
+    WHEN 'employer_email' THEN regexp_matches(mail, '^[\p{{L}}\p{{N}}._%+''-]+@{_HOST}$') AND NOT regexp_matches(mail, '{_ASSET}')
+      AND NOT regexp_matches(mail, '\.\.|^\.|\.@') AND NOT regexp_matches(split_part(mail, '@', 2), '{_PORTAL}')
+    WHEN 'employer_website' THEN regexp_matches(host, '^{_HOST}$') AND NOT regexp_matches(host, '{_ASSET}')
+      AND NOT regexp_matches(host, '{_PORTAL}') AND NOT regexp_matches(s, '\s')
+    ELSE regexp_matches(s, '(?i)^(tel|mob|fon|phone|rec|fax)?[.: ]*[+0-9(][0-9\s\pZ()/.+-]*[0-9]\)?$') AND length(digits) BETWEEN 9 AND 16
+      AND replace(digits, digits[1], '') <> '' END AS usable
+  FROM h
+)
+SELECT group_id, field_name, arg_max(job_id, (updated_at, job_id)) AS job_id FROM u WHERE usable GROUP BY 1, 2
+"""
+
+# Values with any character outside the plain letters, unless they are written in Cyrillic words throughout.
+P3_SQL = r"""
+WITH v AS (SELECT id AS job_id, unnest(['company', 'title', 'location']) AS field_name, unnest([company, title, location]) AS value FROM jobs)
+SELECT job_id, field_name FROM v
+WHERE NOT regexp_matches(value, '^[\x20-\x7eČčĆćŽžŠšĐđÄäÖöÜüß]*$') AND NOT regexp_matches(value, '^(\p{Cyrillic}+|[ -@\[-`{-~]+)+$')
+"""
+
+ORACLE: dict[str, str] = {"p3_found": P3_SQL, "p7_found": P7_SQL}
