@@ -195,48 +195,57 @@ def _table(acc: Counter, name: str) -> pd.DataFrame:
     return pd.DataFrame({name: list(acc), "n": list(acc.values())}).astype({name: "object", "n": "int64"})
 
 
-def train(texts: DataFrame, margin: float = 5.0) -> ClassModel:
-    """The class model of a frame with one column ``text``; ``margin`` bits above the mean is abnormal in round one."""
+FLUSH = 400_000  # entries a task holds before it hands its partial counts on
+
+
+def _counting(name: str, add):  # noqa: ANN001, ANN202
+    """A map over text batches that counts with ``add(counter, text)`` and emits partial counts of bounded size."""
 
-    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                acc.update({w.lower() for u in units(t) if u.sentence for w in u.tokens if w.isalpha()})
-        yield _table(acc, "word")
+                add(acc, t)
+                if len(acc) > FLUSH:
+                    yield _table(acc, name)
+                    acc.clear()
+        yield _table(acc, name)
+
+    return run
+
+
+def train(texts: DataFrame, margin: float = 5.0) -> ClassModel:
+    """The class model of a frame with one column ``text``; ``margin`` bits above the mean is abnormal in round one."""
+
+    def words(acc: Counter, t: str) -> None:
+        acc.update({w.lower() for u in units(t) if u.sentence for w in u.tokens if w.isalpha()})
 
     n_texts = texts.count()
     least = max(2.0, RARE * n_texts)
     top = (
-        texts.mapInPandas(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        texts.mapInPandas(_counting("word", words), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS)
     )
     ranked = [r["word"] for r in top.toLocalIterator()]
     known = frozenset(ranked)
 
-    def first(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, cls = Counter(), Classes(known)
-        for b in batches:
-            for t in b["text"]:
-                _add_grams(acc, (cls.of(u.tokens) for u in units(t) if u.sentence))
-        yield _table(acc, "gram")
+    first_classes = Classes(known)
+
+    def first(acc: Counter, t: str) -> None:
+        _add_grams(acc, (first_classes.of(u.tokens) for u in units(t) if u.sentence))
 
     grams = "gram string, n bigint"
-    model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(first, grams)), least), n_texts)
+    model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(_counting("gram", first), grams)), least), n_texts)
     far = model.mean_bits() + margin
 
-    def second(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = Counter()
-        for b in batches:
-            for t in b["text"]:
-                us = units(t)
-                if 2 * sum(u.size for u in us if model.bits(u.tokens) > far) < sum(u.size for u in us):
-                    _add_grams(acc, (model.classes.of(u.tokens) for u in us))
-        yield _table(acc, "gram")
-
-    model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(second, grams)), least), n_texts)
-    model.function_words = frozenset(ranked[:FUNCTION_WORDS])
-    return model
+    def second(acc: Counter, t: str) -> None:
+        us = units(t)
+        if 2 * sum(u.size for u in us if model.bits(u.tokens) > far) < sum(u.size for u in us):
+            _add_grams(acc, (model.classes.of(u.tokens) for u in us))
+
+    final = ClassModel(known, _collect_grams(cut(texts.mapInPandas(_counting("gram", second), grams)), least), n_texts)
+    final.function_words = frozenset(ranked[:FUNCTION_WORDS])
+    return final
 
 
 def echoes(us: list[Unit], function_words: frozenset[str]) -> list[float]:

@@ -99,9 +99,7 @@ def _respell(token: str, vouched: frozenset[str]) -> str:
     return "".join(_LATIN_READING.get(c, c) for c in token)
 
 
-@lru_cache(maxsize=262_144)
-def plain(text: str) -> str:
-    """The plain spelling of ``text``; unchanged exactly if the text is plain already."""
+def _plain(text: str) -> str:
     text = _INVISIBLE.sub("", text)
     text = "".join(
         " " if unicodedata.category(c) in ("Zs", "Zl", "Zp") else PUNCTUATION.get(c, c) for c in text
@@ -116,6 +114,14 @@ def plain(text: str) -> str:
     return _TOKEN.sub(lambda m: _respell(m.group(), vouched), text)
 
 
+_plain_cached = lru_cache(maxsize=65_536)(_plain)
+
+
+def plain(text: str) -> str:
+    """The plain spelling of ``text``; unchanged exactly if the text is plain already. Short texts are remembered."""
+    return _plain_cached(text) if len(text) <= 200 else _plain(text)
+
+
 def plain_text(column: Column) -> Column:
     """Plain spelling of a string column; NULL stays NULL. Only texts outside plain letters visit Python."""
 

@@ -13,13 +13,19 @@ _UNDECOMPOSED = str.maketrans({"đ": "d", "ß": "ss", "ł": "l", "ø": "o", "æ"
 _UMLAUT = re.compile("([aou])e")
 
 
-@lru_cache(maxsize=262_144)
-def bare(text: str) -> str:
-    """Plain spelling, lower case, without accents."""
+def _bare(text: str) -> str:
     text = plain(text).casefold().translate(_UNDECOMPOSED)
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+_bare_cached = lru_cache(maxsize=65_536)(_bare)
+
+
+def bare(text: str) -> str:
+    """Plain spelling, lower case, without accents. Short texts are remembered."""
+    return _bare_cached(text) if len(text) <= 200 else _bare(text)
+
+
 def merge_digraphs(text: str) -> str:
     """Written-out accents: ae, oe, ue and dj of a bare text become a, o, u and d."""
     return _UMLAUT.sub(r"\1", text).replace("dj", "d")
