@@ -481,11 +481,20 @@ def company_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH b AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce({S.is_email('trim(email)')}, false)) AS missing_before FROM gelbeseiten_agencies) SELECT n_rows, missing_before FROM b"""
+    f"""WITH r AS ({R.sql["email_reuse_priority"]}), a AS (SELECT r.*, coalesce({S.is_email('trim(email)')}, false) AS has FROM gelbeseiten_agencies JOIN r USING (agency_id))
+    SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT has) AS missing_before, count(*) FILTER (WHERE reused_by = 'website') AS by_website,
+      count(*) FILTER (WHERE reused_by = 'company') AS by_company, count(*) FILTER (WHERE reused_by = 'host') AS by_host,
+      count(*) FILTER (WHERE NOT has AND reused_email IS NULL) AS missing_after FROM a"""
 )
 def enrichment_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How many addresses were missing before and after reuse, and by which key they were filled."""
+    rows = enrich.reuse_emails(table(spark, d, "gelbeseiten_agencies"), "email", "website", "agency_name")
     missing = ~F.coalesce(is_email(F.trim("email")), F.lit(False))
-    return table(spark, d, "gelbeseiten_agencies").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("missing_before"))
+    by = lambda k: F.count_if(c("reused_by") == k).alias(f"by_{k}")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("missing_before"), by("website"), by("company"), by("host"),
+        F.count_if(missing & c("reused_email").isNull()).alias("missing_after"),
+    )
 
 
 # ---- windows and shares -----------------------------------------------------------------------------------------
@@ -539,6 +548,20 @@ def priority_links(spark: SparkSession, d: str) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("doc_id", "link", c("rank").cast("long").alias("rank"))
 
 
+@R.add("SELECT id, source FROM scrape_runs ORDER BY created_at DESC, id LIMIT 10")
+def newest_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The limit is the feature: the ten newest runs."""
+    return table(spark, d, "scrape_runs").orderBy(F.desc("created_at"), "id").limit(10).select("id", "source")
+
+
+@R.add("SELECT n_nationkey, n_name AS link FROM nation UNION ALL SELECT n_nationkey, 'u' || n_name FROM nation")
+def link_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """Links delivered as texts or as objects with a url."""
+    links = F.format_string('["%s", {"url": "u%s", "text": "x"}]', c("n_name"), c("n_name"))
+    each = table(spark, d, "nation").select("n_nationkey", F.explode(F.from_json(links, "array<string>")).alias("l"))
+    return each.select("n_nationkey", F.coalesce(F.get_json_object("l", "$.url"), c("l")).alias("link"))
+
+
 @R.add(
     """SELECT doc_id, substring(text, greatest(strpos(text, 'Pitanje') - 20, 1), 20 + least(strpos(text, 'Pitanje') - 20, 1) - 1 + length('Pitanje') + 20) AS around
     FROM documents WHERE strpos(text, 'Pitanje') > 20"""
