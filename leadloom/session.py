@@ -37,3 +37,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder name beside the checkpoints, which all executors share."""
     ensure_checkpoint_dir(spark)
     return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{kind}-{uuid.uuid4().hex}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a scan has fewer partitions than there are cores, as with one small file.
+
+    Only for heavy work on few bytes; a scan of any size worth a cluster has more partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
