@@ -231,11 +231,11 @@ def resolve_addresses(
         .where(F.col("r.street").isNotNull())
         .select(id_col, address, "r.street", "r.house", "r.town")
     )
-    spread = parsed.select("street", "town").distinct().groupBy("street").agg(F.count(F.lit(1)).alias("n_towns"))
+    by_street = parsed.select("street", "town").distinct().groupBy("street").agg(F.count(F.lit(1)).alias("n_towns"))
     readings = cut(
         parsed.groupBy("street", "house", "town")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(spread, "street")
+        .join(by_street, "street")
         .withColumn("kid", F.xxhash64("street", "house", "town"))
     )
     widespread = max(3.0, established * readings.select("town").distinct().count())

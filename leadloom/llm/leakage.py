@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.scripts import LOOKALIKES, plain
 from leadloom.llm.textnorm import bare, merge_digraphs
+from leadloom.session import spread
 
 BLOCK = 2_000
 K, WINDOW = 3, 3
@@ -167,12 +168,14 @@ class EvalIndex:
                 while j + 1 < len(where) and where[j + 1] - where[j] <= slack:
                     j += 1
                 a, b = max(0, where[i] - slack), min(len(text), where[j] + size + slack)
-                stretch = text[a:b]
-                there = np.isin(item, stretch)
-                if there.sum() >= need and there[rare].sum() >= rare_need:
-                    matched = aligned_words(item, stretch)
-                    if rare[matched].sum() >= rare_need:
-                        best = max(best, len(matched))
+                # an alignment spans at most 3.5 item lengths (words between cost 0.4 each), so overlapping pieces are exact
+                for s in range(a, max(a + 1, b - 4 * size), 8 * size):
+                    stretch = text[s : min(b, s + 12 * size)]
+                    there = np.isin(item, stretch)
+                    if there.sum() >= need and there[rare].sum() >= rare_need:
+                        matched = aligned_words(item, stretch)
+                        if rare[matched].sum() >= rare_need:
+                            best = max(best, len(matched))
                 i = j + 1
             if best >= need:
                 yield key, best, size
@@ -194,7 +197,7 @@ def leaked_items(
     """
     keys = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"{doc_id} {keys[0]}, {item_id} {keys[1]}, matched_words int, item_words int"
-    source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).alias("text"))
+    source = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).alias("text")))
     columns = [doc_id, item_id, "matched_words", "item_words"]
 
     def scan(index: EvalIndex):  # noqa: ANN202

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.session import cut
+from leadloom.session import cut, spread
 
 WORDS, FUNCTION_WORDS, GRAMS = 4_000, 150, 200_000
 RARE = 0.001
@@ -265,7 +265,7 @@ def keyword_pages(
     own row; a table without any sentence flags nothing; extra columns are ignored. Every pass is a map over the
     scan with partial counts, so no text is shuffled.
     """
-    source = docs.where(F.col(text).isNotNull())
+    source = spread(docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.col(text)))
     model = train(source.select(F.col(text).alias("text")))
 
     def measure(texts: pd.Series) -> pd.Series:

@@ -15,7 +15,7 @@ from leadloom.llm.packing import pack, token_count
 from leadloom.llm.prose import keyword_pages
 from leadloom.llm.scripts import confusable_values
 from leadloom.llm.survivor import surviving_values
-from leadloom.session import table
+from leadloom.session import spread, table
 
 CONTACTS = ["employer_email", "employer_website", "employer_phone"]
 
@@ -73,14 +73,19 @@ def p3_plain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable_values(jobs, "id", ["company", "title", "location"], "job_id")
 
 
+def _employers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "jobs").select("id", "source", "company", "location", "employer_address", *CONTACTS)
+    return employer_records(spread(jobs))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = match_employers(employer_records(table(spark, sf_dir, "jobs")))
+    members, _ = match_employers(_employers(spark, sf_dir))
     return cross_source_pairs(members).select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with a confidence: the pair's own probability, else the weakest link of its entity."""
-    members, links = match_employers(employer_records(table(spark, sf_dir, "jobs")))
+    members, links = match_employers(_employers(spark, sf_dir))
     linked = links.where("probability >= 0.5")
     weakest = (
         linked.join(members.select(F.col("mention").alias("mention_a"), "entity").distinct(), "mention_a")
@@ -115,7 +120,7 @@ def p7_consensus_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", token_count(F.col("text")).alias("n"))
 
 

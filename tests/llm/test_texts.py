@@ -91,6 +91,19 @@ def test_leak_blocks_give_the_same(spark, monkeypatch):
     assert sorted((r[0], r[1]) for r in leakage.leaked_items(d, e).collect()) == [(i, i) for i in range(7)]
 
 
+def test_leak_inside_an_endless_near_match(spark):
+    """A long text that hits an item all over is aligned piece by piece, and the real copy is found wherever it is."""
+    rng = random.Random(7)
+    item = passage(rng, 50)
+    for at in (0, 333, 700, 999):
+        chain = [w for _ in range(1000) for w in (*rng.choices(WORDS, k=7), *item[10:13])]
+        chain[at * 10 : at * 10] = item
+        ids = leakage.WordIds()
+        index = leakage.EvalIndex([(1, " ".join(item))])
+        found = list(index.leaks(np.array([ids[w] for w in chain], dtype="uint32"), 0.5))
+        assert [(k, m >= 50) for k, m, _ in found] == [(1, True)]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
