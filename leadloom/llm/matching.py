@@ -10,7 +10,7 @@ view to "shares a name word". Both see positives as incompletely labelled and ar
 rate among unmistakable matches (positive-unlabelled correction); the log-odds add up to the pair's
 probability. Pairs from 0.5 link mentions into entities.
 
-The models are fitted on at most ``SAMPLE`` pairs drawn by hash; every pair is scored.
+The models are fitted on about ``SAMPLE`` pairs at most, drawn by hash; every pair is scored.
 """
 
 from __future__ import annotations
@@ -262,7 +262,9 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
                 *[conflict(k).alias(n) for k, n in zip("hpe", CONTACT_VIEW[3:], strict=True)])
         .select("a", "b", "v.*", *CONTACT_VIEW)
     )
-    drawn = pairs.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).select(*NAME_VIEW, *CONTACT_VIEW).toPandas()
+    share = min(1.0, SAMPLE / max(1, pairs.count()))
+    lot = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    drawn = pairs.where(lot).select(*NAME_VIEW, *CONTACT_VIEW).toPandas()
     models = fit_views(drawn)
 
     def score(*cols: pd.Series) -> pd.Series:
