@@ -38,13 +38,14 @@ def usable_website(url: Column) -> Column:
     """Well-formed host with a dot that is not a portal's; NULL counts as unusable."""
     host = host_of(url)
     well_formed = host.rlike(HOST_PATTERN) & ~host.rlike(rf"\.{ASSET_TLDS}$")
+    well_formed = well_formed & (F.length(host) <= 253)
     return F.coalesce(well_formed & ~is_portal_host(host) & ~blank_to_null(url).rlike(r"\s"), F.lit(False))
 
 
 def usable_email(email: Column) -> Column:
     e = F.regexp_replace(F.lower(blank_to_null(email)), r"^mailto:", "")
     host = F.substring_index(e, "@", -1)
-    ok = e.rlike(EMAIL_PATTERN) & ~e.rlike(rf"\.{ASSET_TLDS}$") & ~e.rlike(r"\.\.|^\.|\.@")
+    ok = (F.length(e) <= 254) & e.rlike(EMAIL_PATTERN) & ~e.rlike(rf"\.{ASSET_TLDS}$") & ~e.rlike(r"\.\.|^\.|\.@")
     return F.coalesce(ok & ~is_portal_host(host), F.lit(False))
 
 
