@@ -80,6 +80,13 @@ def unescape_html(c: Column) -> Column:
     return F.regexp_replace(out, "&amp;", "&")
 
 
+def escape_html(c: Column) -> Column:
+    """Markup characters as entities, the ampersand first."""
+    for ch, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+        c = F.replace(c, F.lit(ch), F.lit(f"&{name};"))
+    return c
+
+
 def clean_html_text(c: Column) -> Column:
     return collapse_ws(unescape_html(c))
 

@@ -298,6 +298,34 @@ def html_contact_list(spark: SparkSession, d: str) -> DataFrame:
     return out.select("hotel_id", "f.address", "f.phone", "f.website")
 
 
+_SITE = r"^(?i)https?://[^/?#]"
+
+
+@R.add(
+    rf"""WITH x AS (
+      SELECT hotel_id, {S.collapse('address')} AS a, {S.collapse('phone_number')} AS p,
+        CASE WHEN regexp_matches(website, '{_SITE}') AND NOT contains({S.host('website')}, 'omh.example') THEN rtrim(website, '/') ELSE '' END AS w
+      FROM omh_hoteli)
+    SELECT hotel_id, CASE WHEN (contains(a, ',') OR regexp_matches(a, '[0-9]')) AND NOT contains(a, '@') AND NOT regexp_matches(lower(a), '^(email|submit|newsletter)')
+      AND (p <> '' OR w <> '') THEN a ELSE '' END AS address, p AS phone, w AS website FROM x"""
+)
+def html_contact_list_every(spark: SparkSession, d: str) -> DataFrame:
+    """Contact blocks of every hotel: a NULL or blank part has no entry, markup is escaped, a website without a scheme
+    is a relative link and so none."""
+    rows = table(spark, d, "omh_hoteli")
+    item = '<li class="elementor-icon-list-item">{}<span class="elementor-icon-list-text">{}</span>{}</li>'
+    address, phone, site = (text.escape_html(c(x)) for x in ("address", "phone_number", "website"))
+    shown = lambda name, entry, *values: F.when(text.collapse_ws(c(name)) != "", F.format_string(entry, *values))
+    html = F.concat_ws(
+        "\n",
+        shown("address", item.format("", "%s", ""), address),
+        shown("phone_number", item.format('<a href="tel:%s">', "%s", "</a>"), phone, phone),
+        shown("website", item.format('<a href="%s">', "Web", "</a>"), site),
+    )
+    out = rows.select("hotel_id", extract.contact_list(html, [], ["omh.example"]).alias("f"))
+    return out.select("hotel_id", "f.address", "f.phone", "f.website")
+
+
 @R.add("SELECT n_nationkey, n_nationkey AS page, n_regionkey + 1 AS pages FROM nation")
 def pagination_state(spark: SparkSession, d: str) -> DataFrame:
     line = F.format_string("  Seite  %d von %d  ", c("n_nationkey"), c("n_regionkey") + 1)
