@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import pages, text
@@ -63,6 +63,63 @@ def result_card_fields(spark: SparkSession, d: str) -> DataFrame:
     return _telling(spark, d).select("id", pages.result_card(body, c("title")).alias("f")).select("id", "f.*")
 
 
+# The same pages of every job: a NULL or blank field has no line, and what the parser then reads is stated as lists of lines.
+_EVERY = f"(SELECT id, {S.collapse('title')} AS t, {_CO} AS co, {_LO} AS lo FROM jobs)"
+_at = lambda lines, n: f"coalesce(({lines})[{n}], '')"
+_noise = lambda x: f"{S.slug(x)} IN ({', '.join(map(repr, pages.NOISE_SLUGS))}) OR regexp_matches({x}, '\\b\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}\\b')"
+
+
+def _shown(name: str, label: str = "") -> Column:
+    return F.when(text.collapse_ws(c(name)) != "", F.concat(F.lit(label), c(name)))
+
+
+# a field that its label names, else the first (place) or second (company) free line, of which there is none here
+@R.add(f"SELECT id, co AS company, lo AS location FROM {_EVERY}")
+def listing_row_labelled_every(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat_ws("\n", _shown("title"), _shown("company", "Poslodavac: "), _shown("location", "Mjesto rada: "), F.lit("Rok za prijavu: sutra"))
+    return table(spark, d, "jobs").select("id", pages.listing_row(body, c("title")).alias("f")).select("id", "f.*")
+
+
+_FREE = "list_filter([lo, co], lambda x: x <> '' AND x <> t AND NOT contains(x, ':'))"
+
+
+@R.add(f"SELECT id, {_at(_FREE, 2)} AS company, {_at(_FREE, 1)} AS location FROM {_EVERY}")
+def listing_row_positional_every(spark: SparkSession, d: str) -> DataFrame:
+    """By position alone: without a place the company is read as the place."""
+    body = F.concat_ws("\n", _shown("title"), _shown("location"), _shown("company"), F.lit("Rok: 1"))
+    return table(spark, d, "jobs").select("id", pages.listing_row(body, c("title")).alias("f")).select("id", "f.*")
+
+
+_CARD = f"list_filter([co, lo], lambda x: x <> '' AND NOT ({_noise('x')}))"
+
+
+@R.add(f"SELECT id, {_at(_CARD, 1)} AS company, {_at(_CARD, 2)} AS location, "
+       f"CASE WHEN {_at(_CARD, 1)} = '' THEN '' WHEN {_at(_CARD, 1)} = co THEN '01.02.2026' ELSE '02.02.2026' END AS published_at FROM {_EVERY}")
+def listing_card_fields_every(spark: SparkSession, d: str) -> DataFrame:
+    """By position alone: without a company the place is read as the company, and the date is the first behind it."""
+    body = F.concat_ws("\n", F.lit("Neu"), _shown("title"), F.lit("Merken"), _shown("company"), F.lit(" 01.02.2026 "), _shown("location"), F.lit("02.02.2026"))
+    return table(spark, d, "jobs").select("id", pages.listing_card(body, c("title")).alias("f")).select("id", "f.*")
+
+
+@R.add(f"SELECT id, CASE WHEN {_noise('lo')} THEN '' ELSE lo END AS location, CASE WHEN co IN (t, lo) OR {_noise('co')} OR contains(co, '@') "
+       f"OR regexp_matches(lower(co), '^(e-mail|web):') THEN '' ELSE co END AS company FROM {_EVERY}")
+def detail_page_fields_every(spark: SparkSession, d: str) -> DataFrame:
+    """A line that repeats the title or the place is no company."""
+    body = F.concat_ws("\n", _shown("title"), F.lit("E-Mail: x@y.example"), F.lit("aktualisiert"), _shown("company"), F.lit("Standort:"), F.lit("Neu"), _shown("location"))
+    found = table(spark, d, "jobs").select("id", "title", body.alias("body"), pages.detail_location(body).alias("location"))
+    return found.select("id", "location", pages.detail_company(c("body"), c("title"), c("location")).alias("company"))
+
+
+_RESULT = "list_filter([co, lo], lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(image:|reportimage)'))"
+
+
+@R.add(f"SELECT id, {_at(_RESULT, 1)} AS company, {_at(_RESULT, 2)} AS location, '1.200 EUR' AS salary, 'prije 3 dana' AS published_at, true AS is_remote FROM {_EVERY}")
+def result_card_fields_every(spark: SparkSession, d: str) -> DataFrame:
+    """By position alone: without a company the place is read as the company."""
+    body = F.concat_ws("\n", _shown("title"), F.lit("1.200 EUR"), F.lit("Rad od kuće"), F.lit("Report"), F.lit("image: x"), _shown("company"), _shown("location"), F.lit("prije 3 dana"))
+    return table(spark, d, "jobs").select("id", pages.result_card(body, c("title")).alias("f")).select("id", "f.*")
+
+
 _AG = f"agency_name = {S.collapse('agency_name')} AND city = {S.collapse('city')} AND NOT regexp_matches(agency_name || city, '[<>&]') AND website IS NOT NULL AND NOT regexp_matches(website, '[%+\\s]')"
 
 
@@ -84,6 +141,28 @@ def directory_card_fields(spark: SparkSession, d: str) -> DataFrame:
     return out.select("agency_id", "e.company", "e.city", "e.website", "total")
 
 
+@R.add(f"SELECT agency_id, {S.collapse('agency_name')} AS company, {S.collapse('city')} AS city, coalesce(website, '') AS website, 2 AS total FROM gelbeseiten_agencies WHERE {S.collapse('agency_name')} <> ''")
+def directory_card_fields_every(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of every agency: values are escaped, websites percent-coded, NULL parts left out; every other card has
+    its city in the contact JSON only. A card without a name is none."""
+    rows = table(spark, d, "gelbeseiten_agencies")
+    card = (
+        '<span id="mod-TrefferlisteInfo">2</span><article class="mod mod-Treffer"%s><h2 class="mod-Treffer__name">%s</h2>'
+        '<a href="https://www.gelbeseiten.example/gsbiz/%s">x</a><div class="mod-AdresseKompakt__adress-text">Weg 1, '
+        '%s</div>%s</article><article class="mod mod-Treffer">no name</article>'
+    )
+    name, city = (text.escape_html(F.coalesce(x, F.lit(""))) for x in ("agency_name", "city"))
+    generic = F.struct(F.struct(F.struct(F.struct(F.coalesce("city", F.lit("")).alias("city")).alias("generic")).alias("organizationQuery")).alias("inboxConfig"))
+    in_json = c("agency_id") % 2 == 1
+    data = F.when(in_json, F.format_string(' data-parameters="%s"', text.escape_html(F.to_json(generic)))).otherwise("")
+    place = F.when(in_json | (city == ""), "").otherwise(F.format_string('<span class="nobr mod-AdresseKompakt__adress__ort">01234 %s</span>', city))
+    coded = F.rtrim(F.base64(F.encode(F.replace("website", F.lit("%"), F.lit("%25")), "UTF-8")), F.lit("="))
+    site = F.when(F.coalesce("website", F.lit("")) != "", F.format_string('<span data-webseiteLink="%s"></span>', coded)).otherwise("")
+    html = F.format_string(card, data, name, c("agency_id"), place, site)
+    out = rows.select("agency_id", F.explode(pages.directory_cards(html)).alias("e"), pages.total_results(html).alias("total"))
+    return out.select("agency_id", "e.company", "e.city", "e.website", "total")
+
+
 @R.add("SELECT n_nationkey, '10' AS position, n_name AS name FROM nation")
 def load_more_fields(spark: SparkSession, d: str) -> DataFrame:
     form = '<form class="mod mod-LoadMore" id="x"><input type="hidden" name="position" value="10"><input type="hidden" name="name" value="%s"></form>'
