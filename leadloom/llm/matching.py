@@ -31,7 +31,7 @@ from leadloom.functions.contacts import (
     usable_website,
 )
 from leadloom.llm.graph import components
-from leadloom.llm.names import own_words, place_of, word_errors
+from leadloom.llm.names import WHOLE, own_words, place_of, word_errors
 from leadloom.session import cut
 
 SAMPLE = 40_000
@@ -60,10 +60,10 @@ def _name_features(words_a: list, n_a: list, words_b: list, n_b: list) -> tuple[
     err1 = err2 = 0
     sim = 0.0
     for x, nx in zip(words_a, n_a, strict=True):
-        if x in same:
+        if x in same or x.startswith(WHOLE):
             continue
         for y, ny in zip(words_b, n_b, strict=True):
-            if y in same:
+            if y in same or y.startswith(WHOLE):
                 continue
             e = word_errors(x, nx, y, ny)
             err1, err2 = err1 or e == 1, err2 or e == 2
@@ -224,7 +224,7 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
     )
 
     def bands(words: pd.Series) -> pd.Series:
-        return pd.Series([minhash_bands(w) for w in words])
+        return pd.Series([[zlib.crc32(w.encode()) * BANDS] if w.startswith(WHOLE) else minhash_bands(w) for w in words])
 
     name_keys = (
         mentions.select("mention", "place", F.explode("own.word").alias("word"))

@@ -150,6 +150,21 @@ def test_name_entities(spark):
     assert names.name_entities(people(spark).limit(0), "rid", "company", "place").count() == 0
 
 
+def test_names_of_common_words_only(spark):
+    """An employer that hires everywhere keeps its name, a trade alone is none."""
+    rows = [(f"f{t}{k}", f"{k} Firma{string.ascii_lowercase[t] * 2}{k.lower()} d.o.o.", f"mjesto{t}") for t in range(12) for k in ("Konoba", "Hotel")]
+    rows += [(f"c{t}{n}", name, f"mjesto{t}") for t in range(12) for n, name in enumerate(["Šikavošt Personal d.o.o.", "SIKAVOST PERSONAL", "personal šikavošt", "Mrkovil GmbH", "MRKOVIL"])]
+    rows += [("k1", "Konoba", "mjesto1"), ("k2", "KONOBA", "mjesto1")]
+    df = spark.createDataFrame(rows, "rid string, company string, place string")
+    got = {r["rid"]: r["entity"] for r in names.name_entities(df, "rid", "company", "place").collect()}
+    assert all(got[f"c{t}0"] == got[f"c{t}1"] == got[f"c{t}2"] and got[f"c{t}3"] == got[f"c{t}4"] != got[f"c{t}0"] for t in range(12))
+    assert got["c10"] != got["c20"] and not {"k1", "k2"} & set(got)
+    records = df.selectExpr("rid", "if(rid like '%0', 'hzz', 'mojposao') as source", "company", "place", "cast(null as string) host", "cast(null as string) phone", "cast(null as string) email")
+    members, _ = matching.match_employers(records)
+    pairs = {tuple(r)[:2] for r in matching.cross_source_pairs(members).collect()}
+    assert {(f"c{t}0", f"c{t}{n}") for t in range(12) for n in (1, 2)} <= pairs and not any({"k1", "k2"} & set(p) for p in pairs)
+
+
 def test_match_across_sources(spark):
     """Held-out accuracy on invented employers with typed names and partly filled contacts."""
     rng = random.Random(9)
