@@ -2,7 +2,7 @@
 
 Records are reduced to *mentions*: one per place and distinct list of own name words (records without such
 words: per place and contact). MinHash blocking runs per attribute, always inside a place: banded signatures
-of the 3-grams of each name word, and the one-element sets of web host, phone and e-mail, whose signature is
+of the 3-grams of each name word, beside them the word pairs that the segment join of ``names`` finds, and the one-element sets of web host, phone and e-mail, whose signature is
 the value itself. Pairs that meet get a name view (identical words, words one or two typing errors apart,
 best similarity) and a contact view (shared and conflicting hosts, phones, e-mails). No labels exist, so each
 view labels the other: a logistic model of the name view is fitted to "shares a contact", one of the contact
@@ -31,7 +31,7 @@ from leadloom.functions.contacts import (
     usable_website,
 )
 from leadloom.llm.graph import components
-from leadloom.llm.names import WHOLE, own_words, place_of, word_errors
+from leadloom.llm.names import WHOLE, accepted_words, own_words, place_of, word_errors
 from leadloom.session import cut
 
 SAMPLE = 40_000
@@ -231,11 +231,18 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
         .select("mention", F.lit("n").alias("kind"), "place", F.explode(F.pandas_udf(bands, "array<long>")("word")).alias("band"))
         .select("mention", "kind", F.xxhash64("place", "kind", "band").alias("key"))
     )
+    # short typed words often meet in no band: every pair within the accepted errors is a block of its own
+    alike = accepted_words(nodes.where(~F.col("word").startswith(WHOLE))).select(F.array("a", "b").alias("ends"), F.xxhash64("a", "b").alias("pair"))
+    typed_keys = (
+        mentions.select("mention", F.explode("own.word").alias("word"), "place").select("mention", F.xxhash64("place", "word").alias("node"))
+        .join(alike.select(F.explode("ends").alias("node"), "pair"), "node")
+        .select("mention", F.lit("n").alias("kind"), F.xxhash64(F.lit("typed"), "pair").alias("key"))
+    )
     contact_keys = (
         full.select("rid", "mention", F.col("place").alias("at")).join(contacts, "rid")
         .select("mention", "kind", F.xxhash64("at", "kind", "value").alias("key")).distinct()
     )
-    keys = cut(name_keys.distinct().unionByName(contact_keys))
+    keys = cut(name_keys.unionByName(typed_keys).distinct().unionByName(contact_keys))
     left = keys.select(F.col("mention").alias("a"), "kind", "key")
     right = keys.select(F.col("mention").alias("b"), "key")
     met = (

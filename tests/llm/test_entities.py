@@ -165,6 +165,17 @@ def test_names_of_common_words_only(spark):
     assert {(f"c{t}0", f"c{t}{n}") for t in range(12) for n in (1, 2)} <= pairs and not any({"k1", "k2"} & set(p) for p in pairs)
 
 
+TYPED = [("saffrecoklu", "safrecokku"), ("sevinjisa", "seinjusa"), ("berraupfarau", "berraufparau"), ("vrelar", "vreral"), ("mokina", "mokrna")]
+
+
+def test_typed_words_that_meet_in_no_band(spark):
+    rows = [(f"{s}{i}", ["hzz", "mojposao"][s], w, f"mjesto{i}", None, None, None) for i, p in enumerate(TYPED) for s, w in enumerate(p)]
+    df = spark.createDataFrame(rows, "rid string, source string, company string, place string, host string, phone string, email string")
+    accepted = [p for p in TYPED if names.word_errors(p[0], 1, p[1], 1) < 9]
+    assert any(not set(matching.minhash_bands(a)) & set(matching.minhash_bands(b)) for a, b in accepted)
+    assert matching.match_employers(df)[1].count() >= len(accepted) > 2
+
+
 def test_match_across_sources(spark):
     """Held-out accuracy on invented employers with typed names and partly filled contacts."""
     rng = random.Random(9)
