@@ -1,292 +1,366 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
-A text is cut into units (lines, and sentences within lines; very short lines are joined). Every unit becomes a
-sequence of word classes: frequent prose words stand for themselves, which keeps the function words, other words
-for their case and ending, and links, tags, numbers and marks for their kind. An interpolated 3-gram model over
-these classes is trained on prose: first on the units that are built like sentences, then once more on all units
-of the texts that the first model finds to be mostly prose, so that headings, requirement lists or time tables
-count as normal. A unit whose perplexity is far outside that of the sentences is abnormal if its content words
-keep coming back in the text, or if its perplexity alone is out of all proportion; rare but varied prose is
-neither. A page is flagged if abnormal units hold more than half of its characters.
-
-Vocabulary and n-gram tables count the texts that contain an entry, over all texts, so a page that repeats
-itself counts once. An n-gram must stand in at least ``RARE`` of all texts (and in two), rarer ones are scored
-by the lower orders; the driver receives at most ``WORDS`` words and ``GRAMS`` n-grams of each order.
+A text is cut into units (lines, and sentences within lines; neighbouring units of fewer than four tokens are joined
+up to twelve). Every unit becomes a sequence of classes: function words stand for themselves, other words for their
+case and ending, and links, tags, numbers and marks for their kind. An interpolated 3-gram model over the classes is
+trained on prose: first on the units built like sentences, then once more on the units of the texts that the first
+model finds to be mostly prose, so that headings, requirement lists and time tables count as normal. Units that hold
+a link or tag and units whose words keep coming back in their text are kept out of the second training unless the
+first model finds them normal and free of links. A unit is abnormal if
+
+* its perplexity is high and its content words keep coming back in the text, or
+* its perplexity is out of all proportion, or
+* its perplexity is lower than that of all but ``LOW`` of the sentences while its words keep coming back: one
+  template repeated.
+
+A page is flagged if abnormal units hold more than half of its characters, blanks aside.
+
+Classes, 2-grams and 3-grams fall into hashed tables of fixed size, so nothing is dropped whatever the size of the
+corpus, and what reaches the driver and the executors has a fixed bound (``BITS``). A text counts once for each of
+its n-grams, so a page that repeats itself does not train its own phrases. Texts are tokenised once; the following
+passes read two bytes a token from the checkpoint folder.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.session import cut, spread
 
-WORDS, FUNCTION_WORDS, GRAMS = 4_000, 150, 200_000
-RARE = 0.001
+BITS = (16, 20, 22)  # of the hashed tables of 1-, 2- and 3-grams
 WEIGHTS = (0.62, 0.28, 0.09)  # of 3-, 2- and 1-grams; the rest is spread evenly over all classes
-CLASSES = 20_000.0
+LOW = 0.001
+STEP, BINS = 0.01, 4_096  # of the histogram of bits
+PIECE = 2_000_000  # characters or tokens handled at once
+
+# Function words of the texts' languages.
+FUNCTION_WORDS = (
+    "a ako ali bez bi bio do dok gdje i ili iz iza jer je još kada kako kao kod koja koje koji li na nad nakon ne nije niti "
+    "o od ona oni po pod prema premda pri sa se smo su svi ta te to u uz vi za što iako "
+    "aber als am an auch auf aus bei bis da das dem den der des die durch ein eine einem einen einer es für im in ist mit "
+    "nach nicht noch nur ob obwohl oder seit sich sie sind über um und uns unser von vor weil wenn wie wir wird zu zum zur "
+    "about after all and are as at be before but by for from has have if is it its not of on once or our out than that the "
+    "their they this through under until was we were when where while which who will with without you your"
+).split()
 
 _TOKEN = re.compile(
-    r"<a\s[^>]*>|</?[a-z][^>]*>|https?://\S+|www\.\S+|\]\([^)\s]*\)|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[#@]\w+|\d+(?:[.,:]\d+)*|[^\W\d_]+|[^\w\s]"
+    r"(?:https?://|www\.)\S{1,60000}|\w{1,60000}|[.!?]+\s|\n|</?[aA]\b[^<>]{0,2000}>|\]\([^)\s]{0,2000}\)"
+    r"|</?[a-zA-Z][^<>]{0,2000}>|[#@][\w.-]{1,60000}|[^\w\s]"
 )
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_WORDLIKE = re.compile(r"[^\W\d_]+\Z")
-
-
-class Unit(NamedTuple):
-    size: int  # characters
-    tokens: list[str]
-    sentence: bool
-
-
-def _unit(text: str, tokens: list[str]) -> Unit:
-    """A sentence has a capital first, a stop last, six words at least, and few links and marks inside."""
-    s = text.strip()
-    sentence = False
-    if len(tokens) >= 7 and s[-1] in ".!?" and s[0].isupper():
-        words = sum(1 for t in tokens if t.isalpha())
-        sentence = words >= 6 and words >= 0.7 * len(tokens)
-    # shouting says nothing about the words
-    if s[:1].isupper() and sum(map(str.isupper, s)) > 0.5 * sum(map(str.isalpha, s)):
-        tokens = [t.lower() for t in tokens]
-    return Unit(len(text), tokens, sentence)
-
-
-def units(text: str) -> list[Unit]:
-    """Lines and their sentences; runs of lines with fewer than four tokens are joined up to twelve."""
-    out: list[Unit] = []
-    held: list[str] = []
-    held_tokens: list[str] = []
-    for line in text.replace("**", "").splitlines():
-        if not line.strip():
-            continue
-        if len(line) < 80:
-            tokens = _TOKEN.findall(line)
-            if len(tokens) < 4:
-                held.append(line)
-                held_tokens += tokens
-                if len(held_tokens) >= 12:
-                    out.append(_unit("\n".join(held), held_tokens))
-                    held, held_tokens = [], []
-                continue
-        if held:
-            out.append(_unit("\n".join(held), held_tokens))
-            held, held_tokens = [], []
-        for s in _SENTENCE.split(line):
-            if tokens := _TOKEN.findall(s):
-                out.append(_unit(s, tokens))
-    if held:
-        out.append(_unit("\n".join(held), held_tokens))
-    return out
+# class numbers
+START, END, LINE, STOP, ANCHOR, TAG, LINK, TARGET, MARKED, NUMBER, CAPITAL, CAPITALS, MAIL = range(13)
+_MARK0, _WORD0 = 16, 128
+_ENDING0 = _WORD0 + 256
+_ENDINGS = 4_096
+_FUNCTION = {w: _WORD0 + i for i, w in enumerate(FUNCTION_WORDS)}
 
+_UNIT = np.dtype([("size", "<i4"), ("tokens", "<i4"), ("echo", "<f4"), ("sentence", "?"), ("link", "?")])
 
-def word_class(token: str, known: frozenset[str] | set[str]) -> str:
+
+def token_class(token: str) -> int:
     c = token[0]
-    if c.isalpha() and _WORDLIKE.match(token):
-        low = token.lower()
-        if low in known:
-            return low
-        case = "l" if token == low else "U" if len(token) > 1 and token == token.upper() else "C"
-        return f"{case}~{low[-2:]}" if case == "l" else f"{case}~"
-    if c == "<":
-        return "<a>" if token[:2].lower() == "<a" else "<t>"
+    if token.startswith(("http://", "https://", "www.")):
+        return LINK
     if c.isdigit():
-        return "0"
+        return NUMBER
+    if c.isalnum() or c == "_":
+        low = token.lower()
+        if low in _FUNCTION:
+            return _FUNCTION[low]
+        if token != low:
+            return CAPITALS if len(token) > 1 and token == token.upper() else CAPITAL
+        return _ENDING0 + zlib.crc32(low[-3:].encode()) % _ENDINGS
+    if c == "\n":
+        return LINE
+    if token[-1].isspace():
+        return STOP
+    if c == "<" and len(token) > 1:
+        return ANCHOR if token.lstrip("</")[:1] in "aA" and not token.lstrip("</")[1:2].isalnum() else TAG
     if len(token) > 1:
-        return "@" if "@" in token[1:] else "#" if c in "#@" else "]()" if c == "]" else "www"
-    return token
-
-
-class Classes(dict):
-    """Word class of every token met so far; travels without its memory."""
+        return (MAIL if c == "@" and "." in token else MARKED) if c in "#@" else TARGET
+    return _MARK0 + zlib.crc32(c.encode()) % (_WORD0 - _MARK0)
 
-    def __reduce__(self):  # noqa: ANN204
-        return Classes, (self.known,)
 
-    def __init__(self, known: frozenset[str]):
-        super().__init__()
-        self.known = known
+class Codes(dict):
+    """Packed code of every token met so far: 16 bits class, 16 bits length, 30 bits content word, 1 bit line end."""
 
-    def __missing__(self, token: str) -> str:
-        c = word_class(token, self.known)
+    def __missing__(self, token: str) -> int:
+        k = token_class(token)
+        content = zlib.crc32(token.lower().encode()) & 0x3FFFFFFF or 1 if k >= _ENDING0 or k in (CAPITAL, CAPITALS) else 0
+        code = (int(token[-1] == "\n") << 62) | (content << 32) | (len(token.strip()) << 16) | k
         if len(self) < 500_000:
-            self[token] = c
-        return c
-
-    def of(self, tokens: list[str]) -> list[str]:
-        return ["<s>", "<s>", *[self[t] for t in tokens], "</s>"]
+            self[token] = code
+        return code
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in slices that end at a line end, else at a blank, where there is one."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = text.rfind("\n", at, at + PIECE) + 1 or text.rfind(" ", at, at + PIECE) + 1 or at + PIECE
+        yield text[at:end]
+        at = end
+    yield text[at:] + "\n"
+
+
+class Encoded(NamedTuple):
+    """Class sequences of some texts: tokens in order, units in order, the text number of each unit."""
+
+    classes: np.ndarray
+    units: np.ndarray  # of dtype _UNIT
+    text: np.ndarray
+
+
+def encode(texts: list[str], codes: Codes) -> Encoded:
+    parts, counts = [], []
+    for t in texts:
+        n = 0
+        for piece in _pieces(t):
+            found = _TOKEN.findall(piece)
+            parts.append(np.fromiter(map(codes.__getitem__, found), "int64", len(found)))
+            n += len(found)
+        counts.append(n)
+    code = np.concatenate(parts) if parts else np.zeros(0, "int64")
+    text = np.repeat(np.arange(len(texts)), counts)
+    kind = (code & 0xFFFF).astype("uint16")
+    ends = (code >> 62 == 1) | (kind == STOP)
+    first = np.ones(len(code), bool)
+    first[1:] = ends[:-1] | (text[1:] != text[:-1])
+    unit = np.cumsum(first)
+    keep = kind != LINE
+    code, kind, text, unit = code[keep], kind[keep], text[keep], unit[keep]
+    if not len(code):
+        return Encoded(kind, np.zeros(0, _UNIT), text)
+    first = np.ones(len(code), bool)
+    first[1:] = unit[1:] != unit[:-1]
+    at = np.flatnonzero(first)
+    tokens = np.diff(np.append(at, len(code)))
+    # neighbouring short units are joined
+    short, owner = tokens < 4, text[at]
+    run_first = np.ones(len(at), bool)
+    run_first[1:] = ~(short[1:] & short[:-1] & (owner[1:] == owner[:-1]))
+    run = np.cumsum(run_first) - 1
+    part = (at - at[run_first][run]) // 12
+    group = np.ones(len(at), bool)
+    group[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+    at = at[group]
+    units = np.zeros(len(at), _UNIT)
+    units["tokens"] = np.diff(np.append(at, len(code)))
+    units["size"] = np.add.reduceat((code >> 16) & 0xFFFF, at)
+    word = (kind >= _WORD0) | (kind == CAPITAL) | (kind == CAPITALS)
+    words = np.add.reduceat(word.astype("int64"), at)
+    last = at + units["tokens"] - 1
+    opens = (kind[at] == CAPITAL) | (kind[at] == CAPITALS) | ((kind[at] >= _WORD0) & (kind[at] < _ENDING0))
+    # a capital first, a stop last, six words at least, and few links and marks inside
+    units["sentence"] = opens & (kind[last] == STOP) & (words >= 6) & (words >= 0.7 * units["tokens"])
+    units["link"] = np.add.reduceat(((kind >= ANCHOR) & (kind <= MARKED)).astype("int64"), at) > 0
+    # share of content words that the whole text uses three times or more
+    content = (code >> 32) & 0x3FFFFFFF
+    _, which, uses = np.unique((text << 30) | content, return_inverse=True, return_counts=True)
+    again = np.add.reduceat(((uses[which] > 2) & (content > 0)).astype("int64"), at)
+    units["echo"] = again / np.maximum(1, np.add.reduceat((content > 0).astype("int64"), at))
+    return Encoded(kind, units, text[at])
+
+
+class Grams(NamedTuple):
+    """Table positions of the 1-, 2- and 3-gram and of the 2-gram before every token and unit end."""
+
+    one: np.ndarray
+    two: np.ndarray
+    three: np.ndarray
+    before: np.ndarray  # position of the class before, START at a unit's first token
+    before_two: np.ndarray
+    at: np.ndarray  # first position of each unit
+
+
+def _hash(bits: int, *parts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(parts[0]), "uint64")
+        for p in parts:
+            h = (h + p.astype("uint64") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype("int64")
+
+
+def grams_of(e: Encoded) -> Grams:
+    tokens = e.units["tokens"].astype("int64")
+    n_units = len(tokens)
+    at = np.cumsum(tokens + 1) - tokens - 1
+    w = np.full(len(e.classes) + n_units, END, "int64")
+    w[np.arange(len(e.classes)) + np.repeat(np.arange(n_units), tokens)] = e.classes
+    v, u = np.zeros_like(w), np.zeros_like(w)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    v[at], u[at] = START, START
+    u[at + 1] = START
+    return Grams(w, _hash(BITS[1], v, w), _hash(BITS[2], u, v, w), v, _hash(BITS[1], u, v), at)
 
 
 class ClassModel:
-    """Interpolated 3-gram model over word classes; counts are numbers of texts."""
+    """Interpolated 3-gram model over classes; counts are numbers of texts. Travels as its non-empty table entries."""
 
-    def __init__(self, known: Iterable[str], grams: dict[str, int], texts: int):
-        self.classes = Classes(frozenset(known))
-        self.grams = grams
-        self.total = max(1, sum(n for g, n in grams.items() if " " not in g))
-        self.texts = max(1, texts)
-        self.cost: dict[tuple[str, str, str], float] = {}
-        self.function_words: frozenset[str] = frozenset()
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], texts: int):
+        self.tables, self.texts = tables, max(1, texts)
+        self._dense: list[np.ndarray] | None = None
 
     def __getstate__(self):  # noqa: ANN204
-        return self.__dict__ | {"cost": {}, "classes": Classes(self.classes.known)}
-
-    def _cost(self, u: str, v: str, w: str) -> float:
+        return self.__dict__ | {"_dense": None}
+
+    def bits(self, e: Encoded) -> np.ndarray:
+        """Bits per token of every unit."""
+        if not len(e.units):
+            return np.zeros(0)
+        if self._dense is None:
+            self._dense = [np.zeros(1 << b, "int32") for b in BITS]
+            for dense, (where, n) in zip(self._dense, self.tables, strict=True):
+                dense[where] = n
+        one, two, three = self._dense
+        g = grams_of(e)
         a, b, c = WEIGHTS
-        grams = self.grams
-        p = (1.0 - a - b - c) / CLASSES + c * grams.get(w, 0) / self.total
-        if n := grams.get(f"{v} {w}"):
-            p += b * n / max(n, self.texts if v == "<s>" else grams.get(v, n))
-        if n := grams.get(f"{u} {v} {w}"):
-            p += a * n / max(n, self.texts if v == "<s>" else grams.get(f"{u} {v}", n))
-        return -math.log2(min(p, 1.0))
-
-    def mean_bits(self) -> float:
-        """Bits per token over the counted 3-grams."""
-        bits = n = 0.0
-        for g, k in self.grams.items():
-            if len(parts := g.split(" ")) == 3:
-                bits, n = bits + k * self._cost(*parts), n + k
-        return bits / n if n else 0.0
-
-    def bits(self, tokens: list[str]) -> float:
-        """Bits per token of a unit."""
-        seq = self.classes.of(tokens)
-        cost, out = self.cost, 0.0
-        for key in zip(seq, seq[1:], seq[2:], strict=False):
-            x = cost.get(key)
-            if x is None:
-                x = self._cost(*key)
-                if len(cost) < 1_000_000:
-                    cost[key] = x
-            out += x
-        return out / (len(seq) - 2)
-
-
-def _add_grams(acc: Counter, seqs: Iterable[list[str]]) -> None:
-    """Add the distinct n-grams of one text."""
-    own: set[str] = set()
-    for s in seqs:
-        own.update(s[2:])
-        own.update(map(" ".join, zip(s, s[1:], strict=False)))
-        own.update(map(" ".join, zip(s, s[1:], s[2:], strict=False)))
-    acc.update(own)
-
-
-def _collect_grams(counted: DataFrame, least: float) -> dict[str, int]:
-    """N-grams found in ``least`` texts or more, the ``GRAMS`` most frequent of each order (ties: text)."""
-    total = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    order = F.size(F.split("gram", " "))
-    out: dict[str, int] = {}
-    for k in (1, 2, 3):
-        top = total.where(order == k).orderBy(F.desc("n"), "gram").limit(GRAMS).toPandas()
-        out |= dict(zip(top["gram"], (int(n) for n in top["n"]), strict=True))
-    return out
+        p = c * one[g.one] / max(1, int(one.sum(dtype="int64"))) + (1.0 - a - b - c) / (1 << BITS[0])
+        opening = g.before == START
+        n = two[g.two]
+        p += b * n / np.maximum(1, np.maximum(n, np.where(opening, self.texts, one[g.before])))
+        n = three[g.three]
+        p += a * n / np.maximum(1, np.maximum(n, np.where(opening, self.texts, two[g.before_two])))
+        return np.add.reduceat(-np.log2(np.minimum(p, 1.0)), g.at) / (e.units["tokens"] + 1)
 
 
-def _table(acc: Counter, name: str) -> pd.DataFrame:
-    return pd.DataFrame({name: list(acc), "n": list(acc.values())}).astype({name: "object", "n": "int64"})
+Pick = Callable[[Encoded], np.ndarray]  # units to train on
 
 
-FLUSH = 400_000  # entries a task holds before it hands its partial counts on
+def _batches(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Encoded]]:
+    """Stored texts in groups of bounded size."""
+    for b in batches:
+        group = b["classes"].map(len).cumsum() // (2 * PIECE)
+        for _, part in b.groupby(group.to_numpy(), sort=False):
+            units = [np.frombuffer(x, _UNIT) for x in part["units"]]
+            yield part, Encoded(
+                np.frombuffer(b"".join(part["classes"]), "<u2"),
+                np.concatenate(units),
+                np.repeat(np.arange(len(units)), [len(x) for x in units]),
+            )
 
 
-def _counting(name: str, add):  # noqa: ANN001, ANN202
-    """A map over text batches that counts with ``add(counter, text)`` and emits partial counts of bounded size."""
+def _count(encoded: DataFrame, pick: Pick) -> ClassModel:
+    """The model of the picked units; every task hands on the non-empty entries of its tables."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                add(acc, t)
-                if len(acc) > FLUSH:
-                    yield _table(acc, name)
-                    acc.clear()
-        yield _table(acc, name)
-
-    return run
-
-
-def train(texts: DataFrame, margin: float = 5.0) -> ClassModel:
-    """The class model of a frame with one column ``text``; ``margin`` bits above the mean is abnormal in round one."""
-
-    def words(acc: Counter, t: str) -> None:
-        acc.update({w.lower() for u in units(t) if u.sentence for w in u.tokens if w.isalpha()})
-
-    n_texts = texts.count()
-    least = max(2.0, RARE * n_texts)
-    top = (
-        texts.mapInPandas(_counting("word", words), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS)
-    )
-    ranked = [r["word"] for r in top.toLocalIterator()]
-    known = frozenset(ranked)
-
-    first_classes = Classes(known)
-
-    def first(acc: Counter, t: str) -> None:
-        _add_grams(acc, (first_classes.of(u.tokens) for u in units(t) if u.sentence))
+        tables = [np.zeros(1 << b, "int64") for b in BITS]
+        texts = 0
+        for _, e in _batches(batches):
+            chosen = pick(e)
+            texts += len(np.unique(e.text[chosen]))
+            if not chosen.any():
+                continue
+            size = e.units["tokens"].astype("int64") + 1
+            g, sel = grams_of(e), np.repeat(chosen, size)
+            owner = np.repeat(e.text, size)[sel].astype("int64")
+            for table, bits, where in zip(tables, BITS, (g.one, g.two, g.three), strict=True):
+                keys = np.unique((owner << bits) | where[sel]) & ((1 << bits) - 1)
+                where, n = np.unique(keys, return_counts=True)
+                table[where] += n
+        yield pd.DataFrame({"n_words": [0], "at": [0], "n": [texts]})
+        for k, table in enumerate(tables, 1):
+            hit = np.flatnonzero(table)
+            yield pd.DataFrame({"n_words": k, "at": hit, "n": table[hit]})
+
+    parts = encoded.select("classes", "units").mapInPandas(run, "n_words int, at int, n bigint")
+    total = parts.groupBy("n_words", "at").agg(F.sum("n").alias("n")).toPandas()
+    tables = []
+    for k in (1, 2, 3):
+        rows = total[total["n_words"] == k]
+        tables.append((rows["at"].to_numpy("int32"), np.minimum(rows["n"].to_numpy("int64"), 2**31 - 1).astype("int32")))
+    return ClassModel(tables, int(total.loc[total["n_words"] == 0, "n"].sum()))
 
-    grams = "gram string, n bigint"
-    model = ClassModel(known, _collect_grams(cut(texts.mapInPandas(_counting("gram", first), grams)), least), n_texts)
-    far = model.mean_bits() + margin
 
-    def second(acc: Counter, t: str) -> None:
-        us = units(t)
-        if 2 * sum(u.size for u in us if model.bits(u.tokens) > far) < sum(u.size for u in us):
-            _add_grams(acc, (model.classes.of(u.tokens) for u in us))
+def _spread_of_sentences(encoded: DataFrame, model: ClassModel) -> np.ndarray:
+    """Histogram of the bits of all sentences."""
 
-    final = ClassModel(known, _collect_grams(cut(texts.mapInPandas(_counting("gram", second), grams)), least), n_texts)
-    final.function_words = frozenset(ranked[:FUNCTION_WORDS])
-    return final
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = np.zeros(BINS, "int64")
+        for _, e in _batches(batches):
+            b = model.bits(e)[e.units["sentence"]]
+            h += np.bincount(np.minimum((b / STEP).astype("int64"), BINS - 1), minlength=BINS)
+        hit = np.flatnonzero(h)
+        yield pd.DataFrame({"bin": hit, "n": h[hit]})
+
+    rows = encoded.select("classes", "units").mapInPandas(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BINS, "int64")
+    out[rows["bin"]] = rows["n"]
+    return out
 
 
-def echoes(us: list[Unit], function_words: frozenset[str]) -> list[float]:
-    """For each unit, the share of its content words that the whole text uses three times or more."""
-    content = [[w for t in u.tokens if t.isalpha() and (w := t.lower()) not in function_words] for u in us]
-    uses = Counter(w for ws in content for w in ws)
-    return [sum(uses[w] > 2 for w in ws) / len(ws) if ws else 0.0 for ws in content]
+def _mean(h: np.ndarray) -> float:
+    return float((h * (np.arange(BINS) + 0.5)).sum() / max(1, h.sum()) * STEP)
 
 
 def keyword_pages(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.5, far: float = 4.5, beyond: float = 2.0
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.5, high: float = 0.9, beyond: float = 5.5,
+    margin: float = 5.0,
+) -> DataFrame:
     """(<id>, abnormal_share) of the texts that are mostly keywords, tags or links.
 
-    A unit is abnormal if its bits per token are more than ``far`` deviations away from the mean of all sentences
-    and a third of its content words are repeated in the text, or ``beyond`` bits further away. NULL and blank texts are never flagged; texts are read whole; repeated rows each give their
-    own row; a table without any sentence flags nothing; extra columns are ignored. Every pass is a map over the
-    scan with partial counts, so no text is shuffled.
+    A unit is abnormal if its bits per token are ``high`` above the mean of all sentences and a third of its content
+    words are repeated in the text, or ``beyond`` above the mean, or, again with repeated words, below the quantile
+    ``LOW`` of the sentences. ``margin`` bits above the mean of the first model is abnormal in the second training.
+    NULL and blank texts are never flagged; texts are read whole; repeated rows each give their own row; a table
+    without any sentence flags nothing; extra columns are ignored. Every pass is a map with partial counts; texts are
+    only moved if the scan has fewer partitions than there are cores (``spread``).
     """
-    source = spread(docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.col(text)))
-    model = train(source.select(F.col(text).alias("text")))
-
-    def measure(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            us = units(t)
-            echo = echoes(us, model.function_words)
-            out.append([(u.size, model.bits(u.tokens), e, u.sentence) for u, e in zip(us, echo, strict=True)])
-        return pd.Series(out)
-
-    kind = "array<struct<size:int,bits:double,echo:double,sentence:boolean>>"
-    scored = cut(source.select(F.col(id_col), F.pandas_udf(measure, kind)(F.col(text)).alias("units")))
-    bits = scored.select(F.explode("units").alias("u")).where("u.sentence").agg(
-        F.avg("u.bits").alias("mean"), F.stddev_pop("u.bits").alias("dev")
-    ).first()
-    if bits["mean"] is None:
-        return scored.select(id_col, F.lit(0.0).alias("abnormal_share")).where(F.lit(False))
-    limit = far * bits["dev"] + 0.5
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, u: a + u["size"])
-    away = lambda u: F.abs(u["bits"] - bits["mean"])
-    odd = F.filter("units", lambda u: (away(u) > limit) & ((u["echo"] > 1 / 3) | (away(u) > limit + beyond)))
-    return scored.select(id_col, F.try_divide(total(odd), total(F.col("units"))).alias("abnormal_share")).where(
-        F.col("abnormal_share") > share
-    )
+    source = spread(docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.col(text).alias("text")))
+    key = dict(source.dtypes)[id_col]
+
+    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
+        for b in batches:
+            group = b["text"].map(len).cumsum() // PIECE
+            for _, part in b.groupby(group.to_numpy(), sort=False):
+                e = encode(list(part["text"]), codes)
+                n = len(part)
+                unit_ends = np.searchsorted(e.text, np.arange(n + 1))
+                token_ends = np.append(0, np.cumsum(e.units["tokens"]))[unit_ends]
+                classes = e.classes.astype("<u2")
+                yield pd.DataFrame({
+                    id_col: part[id_col],
+                    "classes": [classes[a:z].tobytes() for a, z in zip(token_ends, token_ends[1:], strict=False)],
+                    "units": [e.units[a:z].tobytes() for a, z in zip(unit_ends, unit_ends[1:], strict=False)],
+                })
+
+    encoded = cut(source.mapInPandas(read, f"`{id_col}` {key}, classes binary, units binary"))
+    first = _count(encoded, lambda e: e.units["sentence"])
+    far = _mean(_spread_of_sentences(encoded, first)) + margin
+
+    def mostly_prose(e: Encoded) -> np.ndarray:
+        normal = first.bits(e) <= far
+        n = int(e.text[-1]) + 1 if len(e.text) else 0
+        size = e.units["size"]
+        prose = 2 * np.bincount(e.text, size * normal, n) > np.bincount(e.text, size, n)
+        return prose[e.text] & ~e.units["link"] & (normal | (e.units["echo"] < 1 / 3))
+
+    model = _count(encoded, mostly_prose)
+    h = _spread_of_sentences(encoded, model)
+    schema = f"`{id_col}` {key}, abnormal_share double"
+    if not h.sum():
+        return encoded.select(F.col(id_col), F.lit(0.0).alias("abnormal_share")).where(F.lit(False))
+    mean = _mean(h)
+    lowest = STEP * float(np.searchsorted(np.cumsum(h), LOW * h.sum()))
+
+    def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, e in _batches(batches):
+            b = model.bits(e)
+            again = e.units["echo"] > 1 / 3
+            odd = (b > mean + beyond) | (again & ((b > mean + high) | (b < lowest)))
+            n, size = len(part), e.units["size"]
+            out = np.bincount(e.text, size * odd, n) / np.maximum(1, np.bincount(e.text, size, n))
+            hit = out > share
+            yield pd.DataFrame({id_col: part[id_col][hit], "abnormal_share": out[hit]})
+
+    return encoded.mapInPandas(judge, schema)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import leakage
 from leadloom.llm.packing import Slots, pack, pack_histogram, token_count
-from leadloom.llm.prose import keyword_pages, units
+from leadloom.llm import prose
+from leadloom.llm.prose import keyword_pages
 
 
 @settings(max_examples=150, deadline=None)
@@ -145,6 +146,33 @@ def test_keyword_pages(spark, pages):
     assert keyword_pages(df.limit(0)).count() == 0 and keyword_pages(df.where("doc_id >= 3000")).count() == 0
 
 
-def test_units_cover_the_text():
-    text = "Jedan.  Dva tri!\n\n• a\n• b\nx " + "riječ " * 5000
-    assert "".join("".join(u.tokens) for u in units(text)) == "".join(text.split())
+def test_keyword_pages_beside_short_link_lists(spark, pages):
+    """Short link lists at the end of prose do not teach the model that link lists are prose."""
+    rng = random.Random(9)
+    links = lambda k: "\n".join(f"http://{rng.choice(WORDS)}{i}.example/{rng.choice(WORDS)}-oglas" for i in range(k))
+    prose_pages = [(i, t + "\n" + links(3)) for i, t in pages if i < 200]
+    lists = [(5000 + i, links(30)) for i in range(10)]
+    mixed = [(6000, links(30) + "\n" + PROSE[0].format(3)), (6001, pages[1][1] + "\n" + links(5))]
+    tables = [(7000, "\n".join(f"0{h}:{m}0 {p.format(h)}" for h in range(6, 10) for m in (0, 3) for p in PROSE[:2]))]
+    df = spark.createDataFrame(prose_pages + lists + mixed + tables, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in keyword_pages(df).collect())
+    assert got == [*range(5000, 5010), 6000]
+
+
+def test_keyword_pages_do_not_depend_on_partitions(spark, pages):
+    df = spark.createDataFrame(pages, "doc_id long, text string")
+    one = sorted(map(tuple, keyword_pages(df.repartition(1)).collect()))
+    many = sorted(map(tuple, keyword_pages(df.repartition(13)).collect()))
+    assert one == many
+
+
+def test_units_cover_the_text(monkeypatch):
+    text = "Jedan.  Dva tri!\n\n• a\n• b\nx https://a.example/b <a href='x'>y</a> #oglas " + "riječ " * 5000 + "kraj."
+    e = prose.encode([text, "", "Sam. "], prose.Codes())
+    assert np.bincount(e.text, e.units["size"], 3).tolist() == [len("".join(text.split())) + 1, 0, 4]  # one blank lies inside a tag
+    assert len(e.classes) == e.units["tokens"].sum()
+    monkeypatch.setattr(prose, "PIECE", 100)
+    cut = prose.encode([text, "", "Sam. "], prose.Codes())
+    assert cut.units["size"].sum() == e.units["size"].sum() and np.array_equal(cut.classes, e.classes)
+    empty = prose.encode([], prose.Codes())
+    assert len(empty.units) == 0 and len(prose.ClassModel([], 0).bits(empty)) == 0
