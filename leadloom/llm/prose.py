@@ -264,9 +264,10 @@ def _count(encoded: DataFrame, pick: Pick) -> ClassModel:
             g, sel = grams_of(e), np.repeat(chosen, size)
             owner = np.repeat(e.text, size)[sel].astype("int64")
             for table, bits, where in zip(tables, BITS, (g.one, g.two, g.three), strict=True):
-                keys = np.unique((owner << bits) | where[sel]) & ((1 << bits) - 1)
-                where, n = np.unique(keys, return_counts=True)
-                table[where] += n
+                keys = np.sort((owner << bits) | where[sel])
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                np.add.at(table, keys[new] & ((1 << bits) - 1), 1)
         yield pd.DataFrame({"n_words": [0], "at": [0], "n": [texts]})
         for k, table in enumerate(tables, 1):
             hit = np.flatnonzero(table)
