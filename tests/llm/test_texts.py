@@ -1,6 +1,7 @@
 """Packing, leakage and keyword-page operators: properties, brute force and edge cases."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -83,26 +84,80 @@ def test_leaks_and_near_misses(spark):
     assert leakage.leaked_items(d, e.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), e).count() == 0
 
 
-def test_leak_blocks_give_the_same(spark, monkeypatch):
+def test_leaks_do_not_depend_on_partitions_or_filter(spark, monkeypatch):
+    """Items that share template words give the same leaks however rows are spread and however small the bitmap is."""
     rng = random.Random(6)
-    items = [passage(rng, 40) for _ in range(7)]
-    d = spark.createDataFrame([(i, " ".join(passage(rng, 10) + x)) for i, x in enumerate(items)], "doc_id long, text string")
+    template = passage(rng, 12)
+    items = [template + passage(rng, 14) + template[:6] for _ in range(10)]
+    rows = [(i, " ".join(passage(rng, 10) + x)) for i, x in enumerate(items)] + [(50, " ".join(template * 3)), (51, " ".join(items[3] + passage(rng, 900) + items[3]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
     e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 2)
-    assert sorted((r[0], r[1]) for r in leakage.leaked_items(d, e).collect()) == [(i, i) for i in range(7)]
+    want = [(i, i) for i in range(10)] + [(51, 3)]
+    for parts in (1, 5):
+        assert sorted((r[0], r[1]) for r in leakage.leaked_items(d.repartition(parts), e.repartition(parts)).collect()) == want
+    monkeypatch.setattr(leakage, "FILTER_BITS", 3)
+    assert sorted((r[0], r[1]) for r in leakage.leaked_items(d, e).collect()) == want
+
+
+def test_leaks_equal_brute_force(spark):
+    """Every text against every item, without fingerprints; up to one word in six changed."""
+    rng = random.Random(12)
+    items = [passage(rng, rng.randrange(24, 70)) for _ in range(12)]
+    texts = []
+    for n in range(60):
+        x = items[n % 12]
+        a = rng.randrange(0, len(x) // 2)
+        x = x[a : a + rng.randrange(len(x) // 4, len(x))]
+        x = [rng.choice(WORDS) if rng.random() < 0.12 else w for w in x]
+        texts.append(" ".join(passage(rng, rng.randrange(40)) + x + passage(rng, rng.randrange(300))))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    ids = leakage.WordIds()
+    want = set()
+    for n, t in enumerate(texts):
+        for i, x in enumerate(items):
+            item = ids.of(" ".join(x))
+            hit = leakage.aligned_words(item, ids.of(t))
+            if len(hit) >= 0.5 * len(item):
+                want.add((n, i))
+    got = [(r[0], r[1]) for r in leakage.leaked_items(d, e).collect()]
+    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.97 * len(want) and not set(got) - want and len(want) > 20
 
 
 def test_leak_inside_an_endless_near_match(spark):
     """A long text that hits an item all over is aligned piece by piece, and the real copy is found wherever it is."""
     rng = random.Random(7)
     item = passage(rng, 50)
+    ids = leakage.WordIds()
+    x = ids.of(" ".join(item))
     for at in (0, 333, 700, 999):
         chain = [w for _ in range(1000) for w in (*rng.choices(WORDS, k=7), *item[10:13])]
         chain[at * 10 : at * 10] = item
-        ids = leakage.WordIds()
-        index = leakage.EvalIndex([(1, " ".join(item))])
-        found = list(index.leaks(np.array([ids[w] for w in chain], dtype="uint32"), 0.5))
-        assert [(k, m >= 50) for k, m, _ in found] == [(1, True)]
+        assert leakage.matched_words(x, np.ones(50, bool), ids.of(" ".join(chain)), 0.5) >= 50
+
+
+def test_long_items_are_aligned_in_little_memory():
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 4000, 3000).astype("uint32")
+    text = np.concatenate([rng.integers(0, 4000, 500), np.delete(item, slice(0, 3000, 9)), rng.integers(0, 4000, 500)]).astype("uint32")
+    hit = leakage.aligned_words(item, text)
+    assert len(hit) >= 2600 and hit == sorted(hit, reverse=True) and leakage.common_length(item, text) >= len(hit)
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_common_length_is_the_longest_common_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert leakage.common_length(np.array(a, "uint32"), np.array(b, "uint32")) == best[-1][-1]
+
+
+@given(st.text(alphabet="aeouđšABß_-\n ½ªx\u00adе\u0301<>&;.", max_size=40))
+def test_words_by_token_equal_words_by_text(text):
+    ids = leakage.WordIds()
+    want = [zlib.crc32(w.encode()) for w in leakage.words(text)]
+    assert ids.of(text).tolist() == want
 
 
 def test_winnowing_guarantee():
