@@ -34,7 +34,7 @@ from leadloom.llm.textnorm import bare, merge_digraphs
 from leadloom.session import cut, spread
 
 K, WINDOW = 3, 3
-EVIDENCE = 0.05  # of the item's words
+EVIDENCE = 0.065  # of the item's words; half an item in runs of five words has 0.5 / 6
 FILTER_BITS = 27
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
@@ -120,17 +120,22 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(at) if window > 64 else at[np.append(True, at[1:] != at[:-1])]
 
 
-def common_length(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence (bit-parallel), an upper bound of any alignment's matches."""
+def word_places(item: np.ndarray) -> dict[int, int]:
+    """For each word a number whose bits are its places in the item."""
     where: dict[int, int] = {}
     for i, w in enumerate(item.tolist()):
         where[w] = where.get(w, 0) | 1 << i
-    full = v = (1 << len(item)) - 1
-    for w in text.tolist():
-        if m := where.get(w):
+    return where
+
+
+def common_length(where: dict[int, int], size: int, text: np.ndarray) -> int:
+    """Length of the longest common subsequence (bit-parallel), an upper bound of any alignment's matches."""
+    full = v = (1 << size) - 1
+    for m in map(where.get, text.tolist()):
+        if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return size - v.bit_count()
 
 
 def aligned_words(item: np.ndarray, text: np.ndarray, gap: float = 0.4) -> list[int]:
@@ -184,14 +189,27 @@ def aligned_words(item: np.ndarray, text: np.ndarray, gap: float = 0.4) -> list[
     return matched
 
 
-def matched_words(item: np.ndarray, rare: np.ndarray, text: np.ndarray, share: float) -> int:
-    """Words of ``item`` that the text carries in order; 0 if it does not leak."""
+class Item:
+    """An evaluation item ready to be compared."""
+
+    def __init__(self, raw: bytes, rare: np.ndarray | None):
+        self.words = np.frombuffer(raw, "<u4")
+        self.rare = np.isin(self.words, [] if rare is None else rare)
+        self.where = word_places(self.words)
+        grams = kgram_hashes(self.words)
+        self.order = np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
+
+
+def matched_words(x: Item, text: np.ndarray, share: float) -> int:
+    """Words of an item that the text carries in order; 0 if it does not leak."""
+    item, rare, order = x.words, x.rare, x.order
     size, slack = len(item), len(item) // 2 + 8
     need, rare_need = share * size, 0.25 * rare.sum()
-    grams = kgram_hashes(item)
-    order = np.argsort(grams, kind="stable")
+    if common_length(x.where, size, text) < need:
+        return 0
     h = kgram_hashes(text)
-    lo, hi = np.searchsorted(grams, h, "left", order), np.searchsorted(grams, h, "right", order)
+    lo, hi = np.searchsorted(x.grams, h, "left"), np.searchsorted(x.grams, h, "right")
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return 0
@@ -207,8 +225,7 @@ def matched_words(item: np.ndarray, rare: np.ndarray, text: np.ndarray, share: f
         # an alignment spans at most 3.5 item lengths (words between cost 0.4 each), so overlapping pieces are exact
         for s in range(a, max(a + 1, b - 4 * size), 8 * size):
             stretch = text[s : min(b, s + 12 * size)]
-            there = np.isin(item, stretch)
-            if there.sum() < max(need, best) or there[rare].sum() < rare_need or common_length(item, stretch) < max(need, best):
+            if common_length(x.where, size, stretch) < max(need, best) or np.isin(item[rare], stretch).sum() < rare_need:
                 continue
             matched = aligned_words(item, stretch)
             if rare[matched].sum() >= rare_need:
@@ -334,10 +351,12 @@ def leaked_items(
     )
 
     def extend(stretch: pd.Series, item: pd.Series, rare: pd.Series) -> pd.Series:
+        ready: dict[bytes, Item] = {}
         out = []
         for s, i, r in zip(stretch, item, rare, strict=True):
-            x = np.frombuffer(i, "<u4")
-            out.append(matched_words(x, np.isin(x, [] if r is None else r), np.frombuffer(s, "<u4"), share))
+            if i not in ready:
+                ready[i] = Item(i, r)
+            out.append(matched_words(ready[i], np.frombuffer(s, "<u4"), share))
         return pd.Series(out, dtype="int32")
 
     matched = F.pandas_udf(extend, "int")("stretch", "words", "rare")

@@ -99,16 +99,18 @@ def test_leaks_do_not_depend_on_partitions_or_filter(spark, monkeypatch):
     assert sorted((r[0], r[1]) for r in leakage.leaked_items(d, e).collect()) == want
 
 
-def test_leaks_equal_brute_force(spark):
-    """Every text against every item, without fingerprints; up to one word in six changed."""
+@pytest.mark.parametrize("edits", ["regular", "random"])
+def test_leaks_equal_brute_force(spark, edits):
+    """Every text against every item, without fingerprints: none is lost if one word in six is changed at most, and
+    few are lost if every word is changed with a chance of one in nine."""
     rng = random.Random(12)
     items = [passage(rng, rng.randrange(24, 70)) for _ in range(12)]
     texts = []
-    for n in range(60):
+    for n in range(90):
         x = items[n % 12]
         a = rng.randrange(0, len(x) // 2)
         x = x[a : a + rng.randrange(len(x) // 4, len(x))]
-        x = [rng.choice(WORDS) if rng.random() < 0.12 else w for w in x]
+        x = [rng.choice(WORDS) if (i % 6 == 5 if edits == "regular" else rng.random() < 0.11) else w for i, w in enumerate(x)]
         texts.append(" ".join(passage(rng, rng.randrange(40)) + x + passage(rng, rng.randrange(300))))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
@@ -117,11 +119,11 @@ def test_leaks_equal_brute_force(spark):
     for n, t in enumerate(texts):
         for i, x in enumerate(items):
             item = ids.of(" ".join(x))
-            hit = leakage.aligned_words(item, ids.of(t))
-            if len(hit) >= 0.5 * len(item):
+            if len(leakage.aligned_words(item, ids.of(t))) >= 0.5 * len(item):
                 want.add((n, i))
     got = [(r[0], r[1]) for r in leakage.leaked_items(d, e).collect()]
-    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.97 * len(want) and not set(got) - want and len(want) > 20
+    assert len(got) == len(set(got)) and not set(got) - want and len(want) > 20
+    assert len(set(got)) >= (1.0 if edits == "regular" else 0.95) * len(want)
 
 
 def test_leak_inside_an_endless_near_match(spark):
@@ -129,11 +131,11 @@ def test_leak_inside_an_endless_near_match(spark):
     rng = random.Random(7)
     item = passage(rng, 50)
     ids = leakage.WordIds()
-    x = ids.of(" ".join(item))
+    x = leakage.Item(ids.of(" ".join(item)).tobytes(), ids.of(" ".join(item)))
     for at in (0, 333, 700, 999):
         chain = [w for _ in range(1000) for w in (*rng.choices(WORDS, k=7), *item[10:13])]
         chain[at * 10 : at * 10] = item
-        assert leakage.matched_words(x, np.ones(50, bool), ids.of(" ".join(chain)), 0.5) >= 50
+        assert leakage.matched_words(x, ids.of(" ".join(chain)), 0.5) >= 50
 
 
 def test_long_items_are_aligned_in_little_memory():
@@ -141,7 +143,7 @@ def test_long_items_are_aligned_in_little_memory():
     item = rng.integers(0, 4000, 3000).astype("uint32")
     text = np.concatenate([rng.integers(0, 4000, 500), np.delete(item, slice(0, 3000, 9)), rng.integers(0, 4000, 500)]).astype("uint32")
     hit = leakage.aligned_words(item, text)
-    assert len(hit) >= 2600 and hit == sorted(hit, reverse=True) and leakage.common_length(item, text) >= len(hit)
+    assert len(hit) >= 2600 and hit == sorted(hit, reverse=True) and leakage.common_length(leakage.word_places(item), 3000, text) >= len(hit)
 
 
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
@@ -150,7 +152,7 @@ def test_common_length_is_the_longest_common_subsequence(a, b):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-    assert leakage.common_length(np.array(a, "uint32"), np.array(b, "uint32")) == best[-1][-1]
+    assert leakage.common_length(leakage.word_places(np.array(a, "uint32")), len(a), np.array(b, "uint32")) == best[-1][-1]
 
 
 @given(st.text(alphabet="aeouđšABß_-\n ½ªx\u00adе\u0301<>&;.", max_size=40))
