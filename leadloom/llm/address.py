@@ -5,13 +5,14 @@
    own city or location.
 2. The distinct readings are weighted vectors of character 3-grams (inverse frequency over all readings). An
    inverted index is built from each vector's prefix, its rarest grams up to the point where the rest cannot
-   reach the cosine threshold any more; postings are keyed by house number and gram.
+   reach the cosine threshold any more; postings are keyed by house number, town and gram. A reading is looked up
+   under its own town and under the towns that are one typing error away, which share a text with one letter left out.
 3. Pairs that meet in a posting are verified: cosine, equal house number, and street and town spellings that
    differ by typing errors only. Two street spellings that are both widespread (found in a share of
    ``established`` of all towns, in three at least, and the lesser in a quarter of the other's) are names of
    different streets.
-4. Each reading follows its best-established verified neighbour (pointer jumping over the checkpointed links);
-   readings with the same representative are one place.
+4. Each reading follows its best-established verified neighbour (pointer jumping, checkpointed every round, until
+   nothing changes); readings with the same representative are one place.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,7 +59,11 @@ _NONWORD = re.compile(r"[^a-z0-9]+")
 
 
 def town_of(text: str | None) -> str:
-    """Folded town of a city or location field, without post code and country."""
+    """Folded town of a city or location field, without post code and country. Short fields are remembered."""
+    return _town_cached(text) if text is not None and len(text) <= 100 else _town_of(text)
+
+
+def _town_of(text: str | None) -> str:
     if not text or not text.strip():
         return ""
     for part in _SEP.split(_SPACE.sub(" ", fold(text)).strip()):
@@ -68,6 +74,9 @@ def town_of(text: str | None) -> str:
     return ""
 
 
+_town_cached = lru_cache(maxsize=65_536)(_town_of)
+
+
 def _town(text: str) -> str:
     text = f" {text} "
     for short, full in TOWN_PHRASES:
@@ -244,63 +253,90 @@ def resolve_addresses(
     def prefixes(streets: pd.Series, towns: pd.Series) -> pd.Series:
         return pd.Series([vectors.prefix(s, t) for s, t in zip(streets, towns, strict=True)])
 
-    postings = readings.select(
-        "kid", "street", "town", "house", "n_towns", "n",
-        F.explode(F.pandas_udf(prefixes, "array<int>")("street", "town")).alias("gram"),
+    grams = readings.select(
+        "kid", "house", "town", F.explode(F.pandas_udf(prefixes, "array<int>")("street", "town")).alias("gram")
+    )
+    near = near_towns(readings.select("town").distinct())
+    # one pair of towns in one direction; pairs of one town in the order of their keys
+    own = grams.select("kid", F.xxhash64("house", "town", "gram").alias("key"))
+    other = (
+        grams.join(near.select(F.col("a").alias("town"), F.col("b").alias("at")), "town")
+        .select(F.col("kid").alias("kid_b"), F.xxhash64("house", "at", "gram").alias("key"))
     )
-    side = lambda s: postings.select("house", "gram", *[F.col(c).alias(c + s) for c in ("kid", "street", "town", "n_towns", "n")])
-    # cheap necessary conditions first
+    postings = cut(own)
+    left = postings.select(F.col("kid").alias("kid_a"), "key")
     met = (
-        side("_a")
-        .join(side("_b"), ["house", "gram"])
-        .where(
-            (F.col("kid_a") < F.col("kid_b"))
-            & (F.abs(F.length("street_a") - F.length("street_b")) <= 2)
-            & (F.abs(F.length("town_a") - F.length("town_b")) <= 2)
-            & (
-                (F.col("street_a") == F.col("street_b"))
-                | (F.least("n_towns_a", "n_towns_b") < F.greatest(F.lit(widespread), 0.25 * F.greatest("n_towns_a", "n_towns_b")))
-            )
-        )
-        .drop("gram")
-        .dropDuplicates(["kid_a", "kid_b"])
-    )
+        left.join(postings.select(F.col("kid").alias("kid_b"), "key"), "key").where("kid_a < kid_b")
+        .unionByName(left.join(other, "key")).select("kid_a", "kid_b").distinct()
+    )
+    side = lambda s: readings.select(*[F.col(c).alias(c + s) for c in ("kid", "street", "town", "n_towns", "n")])
+    spelled = lambda s: F.levenshtein("street_a", "street_b", s)
+    # a swap of neighbours is one typing error and two plain edits
+    likely = met.join(side("_a"), "kid_a").join(side("_b"), "kid_b").where(spelled(4) >= 0)
 
-    def verify(b: pd.DataFrame) -> pd.Series:
+    def verify(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
         out = []
-        for sa, ta, sb, tb in zip(b["street_a"], b["town_a"], b["street_b"], b["town_b"], strict=True):
-            ok = ta == tb or (len(ta) >= 8 and osa_within(ta, tb, 1) <= 1)
-            ok = ok and same_spelling(sa, sb) and vectors.cosine((sa, ta), (sb, tb)) >= threshold
-            out.append(ok)
+        for a, t, b, u in zip(sa, ta, sb, tb, strict=True):
+            ok = t == u or same_town(t, u)
+            out.append(ok and same_spelling(a, b) and vectors.cosine((a, t), (b, u)) >= threshold)
         return pd.Series(out, dtype="bool")
 
-    def verify_udf(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
-        return verify(pd.DataFrame({"street_a": sa, "town_a": ta, "street_b": sb, "town_b": tb}))
-
-    checked = met.where(F.pandas_udf(verify_udf, "boolean")("street_a", "town_a", "street_b", "town_b"))
-    better = lambda x: F.struct(F.col(f"n_towns_{x}").alias("t"), F.col(f"n_{x}").alias("n"), F.col(f"kid_{x}").alias("k"))
-    both = checked.select(F.col("kid_a").alias("kid"), better("a").alias("own"), better("b").alias("other")).unionByName(
-        checked.select(F.col("kid_b").alias("kid"), better("b").alias("own"), better("a").alias("other"))
+    different_streets = (F.col("street_a") != F.col("street_b")) & (
+        F.least("n_towns_a", "n_towns_b") >= F.greatest(F.lit(widespread), 0.25 * F.greatest("n_towns_a", "n_towns_b"))
     )
+    checked = likely.where(~different_streets).where(F.pandas_udf(verify, "boolean")("street_a", "town_a", "street_b", "town_b"))
+    better = lambda x: F.struct(F.col(f"n_towns_{x}").alias("t"), F.col(f"n_{x}").alias("n"), F.col(f"kid_{x}").alias("k"))
+    ranked = checked.select(better("a").alias("x"), better("b").alias("y"))
     parent = cut(
-        both.where(F.col("other") > F.col("own")).groupBy("kid").agg(F.max("other")["k"].alias("up"))
-    )
+        ranked.select(F.least("x", "y")["k"].alias("kid"), F.greatest("x", "y").alias("up"))
+        .groupBy("kid").agg(F.max("up")["k"].alias("up"))
+    )
     # parents strictly improve, so chains end; each round halves their length
-    for _ in range(4):
+    while True:
         hop = parent.select(F.col("kid").alias("up"), F.col("up").alias("up2"))
-        parent = parent.join(hop, "up", "left").select("kid", F.coalesce("up2", "up").alias("up"))
+        step = cut(parent.join(hop, "up", "left").select("kid", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")))
+        parent = step.select("kid", "up")
+        if not step.where("moved").limit(1).count():
+            break
     place = readings.select("street", "house", "town", "kid").join(parent, "kid", "left").select(
         "street", "house", "town", F.coalesce("up", "kid").alias("place")
     )
     return parsed.join(place, ["street", "house", "town"]).select(id_col, address, "street", "house", "town", "place")
 
 
+def same_town(a: str, b: str) -> bool:
+    """Towns of eight letters and more that are one typing error apart."""
+    return len(a) >= 8 and osa_within(a, b, 1) <= 1
+
+
+def near_towns(towns: DataFrame) -> DataFrame:
+    """(a, b) of different towns that are one typing error apart, each pair once; they share a text with one letter left out."""
+
+    def shorter(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}) for t in texts])
+
+    left_out = towns.where(F.length("town") >= 7).select("town", F.explode(F.pandas_udf(shorter, "array<string>")("town")).alias("rest"))
+    side = lambda c: left_out.select(F.col("town").alias(c), F.xxhash64("rest").alias("rest"))
+    pairs = side("a").join(side("b"), "rest").where("a < b").select("a", "b").distinct()
+
+    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_town(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    return pairs.where(F.pandas_udf(verify, "boolean")("a", "b"))
+
+
 def same_place_pairs(resolved: DataFrame, id_col: str, address: str) -> DataFrame:
-    """(record_a, record_b) of one place whose address strings differ, record_a < record_b as strings."""
-    a = resolved.select("place", F.col(id_col).alias("record_a"), F.col(address).alias("address_a"))
-    b = resolved.select("place", F.col(id_col).alias("record_b"), F.col(address).alias("address_b"))
-    return (
-        a.join(b, "place")
-        .where((F.col("record_a") < F.col("record_b")) & (F.col("address_a") != F.col("address_b")))
-        .select("record_a", "record_b")
-    )
+    """(record_a, record_b) of one place whose address strings differ, record_a < record_b as strings.
+
+    Different spellings of a place are paired first, then their records, so records that share one spelling, however
+    many, never meet.
+    """
+    rows = resolved.select("place", F.xxhash64("place", address).alias("spelling"), F.col(id_col).alias("record"))
+    spellings = rows.select("place", "spelling").distinct()
+    pairs = (
+        spellings.join(spellings.withColumnRenamed("spelling", "other"), "place")
+        .where("spelling <> other").select("spelling", "other")
+    )
+    a = rows.join(pairs, "spelling").select(F.col("record").alias("record_a"), F.col("other").alias("spelling"))
+    b = rows.select("spelling", F.col("record").alias("record_b"))
+    return a.join(b, "spelling").where("record_a < record_b").select("record_a", "record_b")
