@@ -35,17 +35,31 @@ def test_banded_distance_is_exact():
             assert osa_within(a, b, k) == min(osa(a, b), k + 1)
 
 
-def test_segment_join_misses_nothing():
+def test_segment_join_misses_nothing(spark):
     rng = random.Random(5)
+    pairs = []
     for _ in range(1500):
-        a = "".join(rng.choice(string.ascii_lowercase[:6]) for _ in range(rng.randrange(5, 12)))
+        a = "".join(rng.choice(string.ascii_lowercase[:6]) for _ in range(rng.randrange(4, 12)))
         b = list(a)
         for _ in range(rng.choice([1, 1, 2])):
             i, op = rng.randrange(len(b)), rng.choice("dis")
             b[i : i + 1] = {"d": [], "i": [b[i], rng.choice("abcdef")], "s": [rng.choice("abcdef")]}[op]
         short, long = sorted((a, "".join(b)), key=len)
-        if len(short) >= 5 and osa(short, long) <= 2:
-            assert set(names.index_keys("p", short)) & set(names.probe_keys("p", long))
+        if len(short) >= 4 and osa(short, long) <= names.edits_allowed(len(short)):
+            pairs.append((short, long))
+    df = spark.createDataFrame(pairs, "short string, long string")
+    keys = lambda c, e: df.selectExpr("short", "long", f"{c} as word", "'p' as place").select("short", "long", F.expr(e).alias(c[0]))
+    both = keys("short", names.INDEX_KEYS).join(keys("long", names.PROBE_KEYS), ["short", "long"])
+    assert both.where(~F.arrays_overlap("s", "l")).count() == 0 and len(pairs) > 900
+
+
+def test_near_words_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 8)))
+    some, common = sorted({word() for _ in range(300)}), sorted({word() for _ in range(12)})
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    got = {r[0] for r in names.near_words(frame(some), frame(common)).collect()}
+    assert got == {w for w in some if len(w) >= 4 and any(len(g) >= 4 and osa(w, g) <= 1 for g in common)}
 
 
 @pytest.mark.parametrize(
