@@ -16,6 +16,7 @@ The models are fitted on about ``SAMPLE`` pairs at most, drawn by hash; every pa
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,11 @@ from leadloom.functions.contacts import (
     usable_website,
 )
 from leadloom.llm.graph import components
-from leadloom.llm.names import WHOLE, accepted_words, own_words, place_of, word_errors
+from leadloom.llm.names import WHOLE, accepted_words, own_words, place_of
 from leadloom.session import cut
 
 SAMPLE = 40_000
+SHARED_HOST = 0.005  # share of all places (five at least) from which a host is no evidence
 BANDS, ROWS = 12, 2
 _MIX = np.random.default_rng(20_260_101).integers(1, 2**63 - 1, size=(2, BANDS * ROWS), dtype="int64").astype("uint64")
 NAME_VIEW = ["same_1", "same_2", "err_1", "err_2", "similarity"]
@@ -44,8 +46,8 @@ NAME_START = (-3.0, 4.0, 5.0, 4.0, 3.0, 0.0)
 CONTACT_START = (-1.0, 3.0, 2.0, 3.0, -1.0, -0.5, -0.5)
 
 
-def minhash_bands(word: str) -> list[int]:
-    """One 64-bit key per band of the word's 3-gram signature."""
+@lru_cache(maxsize=65_536)
+def _bands(word: str) -> list[int]:
     text = f"^{word}$"
     grams = np.array([zlib.crc32(text[i : i + 3].encode()) for i in range(max(1, len(text) - 2))], dtype="uint64")
     with np.errstate(over="ignore"):
@@ -54,23 +56,9 @@ def minhash_bands(word: str) -> list[int]:
     return [zlib.crc32(sig[i * ROWS : (i + 1) * ROWS].tobytes()) * BANDS + i for i in range(BANDS)]
 
 
-def _name_features(words_a: list, n_a: list, words_b: list, n_b: list) -> tuple[float, ...]:
-    """Features of two word lists with their supports."""
-    same = set(words_a) & set(words_b)
-    err1 = err2 = 0
-    sim = 0.0
-    for x, nx in zip(words_a, n_a, strict=True):
-        if x in same or x.startswith(WHOLE):
-            continue
-        for y, ny in zip(words_b, n_b, strict=True):
-            if y in same or y.startswith(WHOLE):
-                continue
-            e = word_errors(x, nx, y, ny)
-            err1, err2 = err1 or e == 1, err2 or e == 2
-            if e > 2:
-                gx, gy = {x[i : i + 2] for i in range(len(x) - 1)}, {y[i : i + 2] for i in range(len(y) - 1)}
-                sim = max(sim, len(gx & gy) / max(1, len(gx | gy)))
-    return float(len(same) == 1), float(len(same) > 1), float(err1), float(err2), 0.0 if same or err1 or err2 else sim
+def minhash_bands(word: str) -> list[int]:
+    """One key per band of the word's 3-gram signature."""
+    return _bands(word)
 
 
 class Logistic:
@@ -131,16 +119,15 @@ def match_probability(pairs: pd.DataFrame, models: tuple[Logistic, Logistic]) ->
 
 def employer_records(jobs: DataFrame) -> DataFrame:
     """(rid, source, company, place, host, phone, email) with unusable contacts blanked."""
-    pick = lambda ok, canon, c: F.when(ok(F.col(c)), canon(F.col(c)))
-    return jobs.select(
-        F.col("id").alias("rid"),
-        "source",
-        "company",
+    # canonical forms and tests in steps of their own, so that each is computed once
+    tested = jobs.select(
+        F.col("id").alias("rid"), "source", "company",
         place_of(F.col("location"), F.col("employer_address")).alias("place"),
-        pick(usable_website, host_of, "employer_website").alias("host"),
-        pick(usable_phone, canonical_phone, "employer_phone").alias("phone"),
-        pick(usable_email, canonical_email, "employer_email").alias("email"),
-    )
+        host_of(F.col("employer_website")).alias("host"), usable_website(F.col("employer_website")).alias("host_ok"),
+        canonical_phone(F.col("employer_phone")).alias("phone"), usable_phone(F.col("employer_phone")).alias("phone_ok"),
+        canonical_email(F.col("employer_email")).alias("email"), usable_email(F.col("employer_email")).alias("email_ok"),
+    )
+    return tested.select("rid", "source", "company", "place", *[F.when(F.col(f"{c}_ok"), F.col(c)).alias(c) for c in ("host", "phone", "email")])
 
 
 def _contacts(df: DataFrame, *keep: str) -> DataFrame:
@@ -169,7 +156,8 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
     named, nodes, member = own_words(records, "rid", "company", "place")
     # hosts and mail domains that occur in many places belong to providers or chains and identify nobody here
     hosts = _hosts(records).where("place <> ''").select("place", "value").distinct()
-    shared_hosts = cut(hosts.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).select("value"))
+    many = max(5.0, SHARED_HOST * hosts.select("place").distinct().count())
+    shared_hosts = cut(hosts.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("value"))
     contacts = cut(
         _hosts(records).join(shared_hosts, "value", "left_anti").select("rid", "place", F.lit("h").alias("kind"), "value")
         .unionByName(_contacts(records, "rid", "place").where("kind <> 'h'")).distinct()
@@ -216,58 +204,69 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
         .select("rid", "source", "place", "own", "host", "phone", "email", mention.alias("mention"))
     )
     mentions = cut(
-        full.groupBy("mention").agg(
-            F.first("own").alias("own"), F.first("place").alias("place"),
-            F.max(F.col("host").isNotNull()).alias("has_h"), F.max(F.col("phone").isNotNull()).alias("has_p"),
-            F.max(F.col("email").isNotNull()).alias("has_e"),
-        )
-    )
+        full.groupBy("mention").agg(F.first("own").alias("own"), F.first("place").alias("place"))
+        .withColumn("words", F.transform("own", lambda x: x["word"]))
+    )
 
     def bands(words: pd.Series) -> pd.Series:
         return pd.Series([[zlib.crc32(w.encode()) * BANDS] if w.startswith(WHOLE) else minhash_bands(w) for w in words])
 
+    spoken = mentions.select("mention", "place", F.explode("words").alias("word"))
     name_keys = (
-        mentions.select("mention", "place", F.explode("own.word").alias("word"))
-        .select("mention", F.lit("n").alias("kind"), "place", F.explode(F.pandas_udf(bands, "array<long>")("word")).alias("band"))
-        .select("mention", "kind", F.xxhash64("place", "kind", "band").alias("key"))
+        spoken.select("mention", "place", F.explode(F.pandas_udf(bands, "array<long>")("word")).alias("band"))
+        .select("mention", F.lit("n").alias("kind"), F.xxhash64("place", F.lit("n"), "band").alias("key"))
     )
-    # short typed words often meet in no band: every pair within the accepted errors is a block of its own
-    alike = accepted_words(nodes.where(~F.col("word").startswith(WHOLE))).select(F.array("a", "b").alias("ends"), F.xxhash64("a", "b").alias("pair"))
-    typed_keys = (
-        mentions.select("mention", F.explode("own.word").alias("word"), "place").select("mention", F.xxhash64("place", "word").alias("node"))
-        .join(alike.select(F.explode("ends").alias("node"), "pair"), "node")
-        .select("mention", F.lit("n").alias("kind"), F.xxhash64(F.lit("typed"), "pair").alias("key"))
-    )
-    contact_keys = (
+    contact_keys = cut(
         full.select("rid", "mention", F.col("place").alias("at")).join(contacts, "rid")
         .select("mention", "kind", F.xxhash64("at", "kind", "value").alias("key")).distinct()
     )
-    keys = cut(name_keys.unionByName(typed_keys).distinct().unionByName(contact_keys))
+    has = contact_keys.groupBy("mention").agg(*[F.max(F.col("kind") == k).alias(f"has_{k}") for k in "hpe"])
+    keys = cut(name_keys.distinct().unionByName(contact_keys))
     left = keys.select(F.col("mention").alias("a"), "kind", "key")
     right = keys.select(F.col("mention").alias("b"), "key")
-    met = (
-        left.join(right, "key").where("a < b").groupBy("a", "b")
-        .agg(*[F.max((F.col("kind") == k).cast("int")).alias(f"met_{k}") for k in "hpe"])
+    no_words = F.lit(None).cast("struct<wa:string,wb:string,errors:int>")
+    met = left.join(right, "key").where("a < b").select("a", "b", "kind").distinct().withColumn("typed", no_words)
+    # short typed words often meet in no band: every pair within the accepted errors is a block of its own
+    word = nodes.where(~F.col("word").startswith(WHOLE))
+    said = spoken.select("mention", "word", F.xxhash64("place", "word").alias("node"))
+    by_word = lambda m, n, w: said.select(F.col("mention").alias(m), F.col("node").alias(n), F.col("word").alias(w))
+    typed = (
+        accepted_words(word).select(F.col("a").alias("x"), F.col("b").alias("y"), "errors")
+        .join(by_word("m", "x", "wm"), "x").join(by_word("o", "y", "wo"), "y")
+    )
+    turn = F.col("m") > F.col("o")
+    other = lambda p, q: F.when(turn, F.col(q)).otherwise(F.col(p))
+    typed = typed.where("m <> o").select(
+        other("m", "o").alias("a"), other("o", "m").alias("b"), F.lit("t").alias("kind"),
+        F.struct(other("wm", "wo").alias("wa"), other("wo", "wm").alias("wb"), F.col("errors")).alias("typed"),
     )
-    side = lambda s: mentions.select(F.col("mention").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("own", "has_h", "has_p", "has_e")])
-
-    def features(own_a: pd.Series, own_b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(own_a, own_b, strict=True):
-            a, b = ([] if x is None else list(x) for x in (a, b))
-            rows.append(
-                _name_features([x["word"] for x in a], [x["support"] for x in a], [x["word"] for x in b], [x["support"] for x in b])
-            )
-        return pd.DataFrame(rows, columns=NAME_VIEW)
-
-    view = F.pandas_udf(features, ", ".join(f"{c} double" for c in NAME_VIEW))
+    grouped = met.unionByName(typed).groupBy("a", "b").agg(
+        *[F.max((F.col("kind") == k).cast("int")).alias(f"met_{k}") for k in "hpe"], F.collect_set("typed").alias("typed")
+    )
+    flags = mentions.select("mention", F.coalesce("words", F.array().cast("array<string>")).alias("words")).join(has, "mention", "left")
+    side = lambda s: flags.select(
+        F.col("mention").alias(s), F.col("words").alias(f"words_{s}"), *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}_{s}") for k in "hpe"]
+    )
+    both = grouped.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("words_a", "words_b")))
+    fresh = lambda n: F.exists(
+        "typed", lambda t: (t["errors"] == n) & ~F.array_contains("words_b", t["wa"]) & ~F.array_contains("words_a", t["wb"])
+    )
+    both = both.withColumn("err_1", fresh(1)).withColumn("err_2", fresh(2))
+    grams = lambda ws: F.transform(
+        F.filter(ws, lambda w: ~w.startswith(WHOLE)),
+        lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substring(w, i, F.lit(2))),
+    )
+    likeness = F.array_max(F.flatten(F.transform(grams("words_a"), lambda x: F.transform(
+        grams("words_b"), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))))
     conflict = lambda k: (F.col(f"has_{k}_a") & F.col(f"has_{k}_b") & (F.col(f"met_{k}") == 0)).cast("double")
+    unlike = (F.col("same") == 0) & ~F.col("err_1") & ~F.col("err_2")
     pairs = cut(
-        met.join(side("a"), "a").join(side("b"), "b")
-        .select("a", "b", view("own_a", "own_b").alias("v"),
-                *[F.col(f"met_{k}").cast("double").alias(n) for k, n in zip("hpe", CONTACT_VIEW[:3], strict=True)],
-                *[conflict(k).alias(n) for k, n in zip("hpe", CONTACT_VIEW[3:], strict=True)])
-        .select("a", "b", "v.*", *CONTACT_VIEW)
+        both.select("a", "b",
+                    (F.col("same") == 1).cast("double").alias("same_1"), (F.col("same") > 1).cast("double").alias("same_2"),
+                    F.col("err_1").cast("double"), F.col("err_2").cast("double"),
+                    F.when(unlike, F.coalesce(likeness, F.lit(0.0))).otherwise(0.0).alias("similarity"),
+                    *[F.col(f"met_{k}").cast("double").alias(n) for k, n in zip("hpe", CONTACT_VIEW[:3], strict=True)],
+                    *[conflict(k).alias(n) for k, n in zip("hpe", CONTACT_VIEW[3:], strict=True)])
     )
     share = min(1.0, SAMPLE / max(1, pairs.count()))
     lot = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
@@ -290,11 +289,16 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
 def cross_source_pairs(members: DataFrame) -> DataFrame:
     """(id_a, id_b, mention_a, mention_b) of one entity with different source, id_a < id_b as strings.
 
-    Only entities found in two sources take part, so one that a single source lists, of whatever size, never
-    meets itself.
+    Rows of an entity meet the rows of its other sources only, so one that a single source lists, of whatever size,
+    never meets itself.
     """
-    shared = members.groupBy("entity").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo <> hi").select("entity")
-    kept = members.join(shared, "entity")
-    a = kept.select("entity", F.col("rid").alias("id_a"), F.col("source").alias("source_a"), F.col("mention").alias("mention_a"))
-    b = kept.select("entity", F.col("rid").alias("id_b"), F.col("source").alias("source_b"), F.col("mention").alias("mention_b"))
-    return a.join(b, "entity").where("id_a < id_b AND source_a <> source_b").select("id_a", "id_b", "mention_a", "mention_b", "entity")
+    listed = members.select("entity", "source").distinct()
+    others = (
+        listed.join(listed.withColumnRenamed("source", "source_b"), "entity").where("source <> source_b")
+        .select("entity", "source", "source_b")
+    )
+    a = members.join(others, ["entity", "source"]).select(
+        "entity", F.col("source_b").alias("source"), F.col("rid").alias("id_a"), F.col("mention").alias("mention_a")
+    )
+    b = members.select("entity", "source", F.col("rid").alias("id_b"), F.col("mention").alias("mention_b"))
+    return a.join(b, ["entity", "source"]).where("id_a < id_b").select("id_a", "id_b", "mention_a", "mention_b", "entity")
