@@ -224,8 +224,9 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
     keys = cut(name_keys.distinct().unionByName(contact_keys))
     left = keys.select(F.col("mention").alias("a"), "kind", "key")
     right = keys.select(F.col("mention").alias("b"), "key")
-    no_words = F.lit(None).cast("struct<wa:string,wb:string,errors:int>")
-    met = left.join(right, "key").where("a < b").select("a", "b", "kind").distinct().withColumn("typed", no_words)
+    met = left.join(right, "key").where("a < b").select(
+        "a", "b", *[(F.col("kind") == k).cast("int").alias(f"met_{k}") for k in "hpe"], F.lit(0).alias("err_1"), F.lit(0).alias("err_2")
+    )
     # short typed words often meet in no band: every pair within the accepted errors is a block of its own
     word = nodes.where(~F.col("word").startswith(WHOLE))
     said = spoken.select("mention", "word", F.xxhash64("place", "word").alias("node"))
@@ -234,24 +235,20 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
         accepted_words(word).select(F.col("a").alias("x"), F.col("b").alias("y"), "errors")
         .join(by_word("m", "x", "wm"), "x").join(by_word("o", "y", "wo"), "y")
     )
-    turn = F.col("m") > F.col("o")
-    other = lambda p, q: F.when(turn, F.col(q)).otherwise(F.col(p))
-    typed = typed.where("m <> o").select(
-        other("m", "o").alias("a"), other("o", "m").alias("b"), F.lit("t").alias("kind"),
-        F.struct(other("wm", "wo").alias("wa"), other("wo", "wm").alias("wb"), F.col("errors")).alias("typed"),
+    # words that both mentions have say nothing about the others
+    own = lambda m: mentions.select(F.col("mention").alias(m), F.col("words").alias(f"words_{m}"))
+    typed = (
+        typed.where("m <> o").join(own("m"), "m").join(own("o"), "o")
+        .where(~F.array_contains("words_o", F.col("wm")) & ~F.array_contains("words_m", F.col("wo")))
+        .select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"), *[F.lit(0).alias(f"met_{k}") for k in "hpe"],
+                *[(F.col("errors") == n).cast("int").alias(f"err_{n}") for n in (1, 2)])
     )
-    grouped = met.unionByName(typed).groupBy("a", "b").agg(
-        *[F.max((F.col("kind") == k).cast("int")).alias(f"met_{k}") for k in "hpe"], F.collect_set("typed").alias("typed")
-    )
+    grouped = met.unionByName(typed).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("met_h", "met_p", "met_e", "err_1", "err_2")])
     flags = mentions.select("mention", F.coalesce("words", F.array().cast("array<string>")).alias("words")).join(has, "mention", "left")
     side = lambda s: flags.select(
         F.col("mention").alias(s), F.col("words").alias(f"words_{s}"), *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}_{s}") for k in "hpe"]
     )
     both = grouped.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("words_a", "words_b")))
-    fresh = lambda n: F.exists(
-        "typed", lambda t: (t["errors"] == n) & ~F.array_contains("words_b", t["wa"]) & ~F.array_contains("words_a", t["wb"])
-    )
-    both = both.withColumn("err_1", fresh(1)).withColumn("err_2", fresh(2))
     grams = lambda ws: F.transform(
         F.filter(ws, lambda w: ~w.startswith(WHOLE)),
         lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substring(w, i, F.lit(2))),
@@ -259,7 +256,7 @@ def match_employers(records: DataFrame, threshold: float = 0.5) -> tuple[DataFra
     likeness = F.array_max(F.flatten(F.transform(grams("words_a"), lambda x: F.transform(
         grams("words_b"), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))))
     conflict = lambda k: (F.col(f"has_{k}_a") & F.col(f"has_{k}_b") & (F.col(f"met_{k}") == 0)).cast("double")
-    unlike = (F.col("same") == 0) & ~F.col("err_1") & ~F.col("err_2")
+    unlike = (F.col("same") == 0) & (F.col("err_1") == 0) & (F.col("err_2") == 0)
     pairs = cut(
         both.select("a", "b",
                     (F.col("same") == 1).cast("double").alias("same_1"), (F.col("same") > 1).cast("double").alias("same_2"),

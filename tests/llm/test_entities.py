@@ -36,21 +36,20 @@ def test_banded_distance_is_exact():
 
 
 def test_segment_join_misses_nothing(spark):
+    """All pairs of words of one place that differ by accepted errors come out, swaps over segment borders among them."""
     rng = random.Random(5)
-    pairs = []
-    for _ in range(1500):
-        a = "".join(rng.choice(string.ascii_lowercase[:6]) for _ in range(rng.randrange(4, 12)))
-        b = list(a)
-        for _ in range(rng.choice([1, 1, 2])):
-            i, op = rng.randrange(len(b)), rng.choice("dis")
-            b[i : i + 1] = {"d": [], "i": [b[i], rng.choice("abcdef")], "s": [rng.choice("abcdef")]}[op]
-        short, long = sorted((a, "".join(b)), key=len)
-        if len(short) >= 4 and osa(short, long) <= names.edits_allowed(len(short)):
-            pairs.append((short, long))
-    df = spark.createDataFrame(pairs, "short string, long string")
-    keys = lambda c, e: df.selectExpr("short", "long", f"{c} as word", "'p' as place").select("short", "long", F.expr(e).alias(c[0]))
-    both = keys("short", names.INDEX_KEYS).join(keys("long", names.PROBE_KEYS), ["short", "long"])
-    assert both.where(~F.arrays_overlap("s", "l")).count() == 0 and len(pairs) > 900
+    some = {"".join(rng.choice(string.ascii_lowercase[:6]) for _ in range(rng.randrange(4, 12))) for _ in range(120)}
+    for w in sorted(some):
+        for _ in range(2):
+            b = list(w)
+            for _ in range(rng.choice([1, 1, 2])):
+                i, op = rng.randrange(len(b) - 1), rng.choice("dist")
+                b[i : i + 1 + (op == "t")] = {"d": [], "i": [b[i], rng.choice("abcdef")], "s": [rng.choice("abcdef")], "t": [b[i + 1], b[i]]}[op]
+            some.add("".join(b))
+    rows = [(n, "p", w, rng.choice([1, 1, 2])) for n, w in enumerate(sorted(some))]
+    got = {tuple(sorted((r["a"], r["b"]))): r["errors"] for r in names.accepted_words(spark.createDataFrame(rows, "node long, place string, word string, support int")).collect()}
+    want = {(x[0], y[0]): e for x, y in itertools.combinations(rows, 2) if (e := names.word_errors(x[2], x[3], y[2], y[3])) < 9}
+    assert got == want and len(want) > 150 and 2 in want.values()
 
 
 def test_near_words_equal_brute_force(spark):
