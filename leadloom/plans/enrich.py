@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.extract import email_candidates, is_email
-from leadloom.functions.text import casefold_key, fold
+from leadloom.functions.text import casefold_key, collapse_ws, fold
 from leadloom.functions.urls import domains_match, normalize_website_strict, path, website_host
 from leadloom.operators.dedupe import unique_values
 
@@ -103,15 +103,27 @@ def ranked_emails(pages: DataFrame, page_id: str, text: str, url: str, company:
 
 
 def company_history(jobs: DataFrame, key: Column) -> DataFrame:
-    """Per company: best known address (latest update, then text) and whether a lookup has failed before."""
-    usable = F.when(is_email(F.col("employer_email")), F.lower(F.trim("employer_email")))
-    best = F.struct(F.col("updated_at").alias("at"), usable.alias("email"))
-    failed = F.col("employer_email").isNull() & (F.col("email_enrichment_attempt_count") > 0)
+    """Per company of earlier rows: (company_key, known_email, had_failure).
+
+    The known address is the one with the best local part (preferred names first, unwanted ones last, short ones
+    before long ones), then the latest update, then the greatest text. A lookup has failed before if a row is marked
+    unusable or was ever attempted.
+    """
+    mail = collapse_ws(F.col("employer_email"))
+    local = F.lower(F.substring_index(mail, "@", 1))
+    unwanted = reduce(lambda a, b: a | b, [local.contains(w) for w in LOW_LOCAL])
+    score = _first_hit(local, PREFERRED_LOCAL, 100) - F.when(unwanted, 50).otherwise(0) + F.greatest(F.lit(20) - F.length(local), F.lit(0))
+    best = F.when(is_email(mail), F.struct(score.alias("score"), F.col("updated_at").alias("at"), mail.alias("email")))
+    failed = (
+        F.coalesce("email_enrichment_unusable", F.lit(False))
+        | (F.coalesce("email_enrichment_attempt_count", F.lit(0)) > 0)
+        | F.col("email_enrichment_last_attempt_at").isNotNull()
+    )
     return (
-        jobs.select(key.alias("company_key"), usable.alias("_u"), best.alias("_best"), failed.alias("_failed"))
+        jobs.select(key.alias("company_key"), best.alias("_best"), failed.alias("_failed"))
         .where("company_key IS NOT NULL AND company_key <> ''")
         .groupBy("company_key")
-        .agg(F.max(F.when(F.col("_u").isNotNull(), F.col("_best"))).alias("_best"), F.bool_or("_failed").alias("had_failure"))
+        .agg(F.max("_best").alias("_best"), F.bool_or("_failed").alias("had_failure"))
         .select("company_key", F.col("_best.email").alias("known_email"), "had_failure")
     )
 

@@ -45,13 +45,13 @@ def listing_row_positional(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"SELECT id, {_CO} AS company, {_LO} AS location, '01.02.2026' AS published_at FROM jobs WHERE {_TELLING}")
 def listing_card_fields(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat_ws("\n", F.lit("Neu"), c("title"), F.lit("Merken"), c("company"), F.lit(" 01.02.2026 "), c("location"), F.lit("02.02.2026"))
+    body = F.concat_ws("\n", F.lit("Neu"), c("title"), F.lit("TOP-Job"), c("company"), F.lit(" 01.02.2026 "), c("location"), F.lit("02.02.2026"))
     return _telling(spark, d).select("id", pages.listing_card(body, c("title")).alias("f")).select("id", "f.*")
 
 
 @R.add(f"SELECT id, {_LO} AS location, {_CO} AS company FROM jobs WHERE {_TELLING}")
 def detail_page_fields(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat_ws("\n", c("title"), F.lit("E-Mail: x@y.example"), F.lit("aktualisiert"), c("company"), F.lit("Standort:"), F.lit("Neu"), c("location"))
+    body = F.concat_ws("\n", c("title"), F.lit("E-Mail: x@y.example"), F.lit("Jetzt bewerben"), c("company"), F.lit("Standort:"), F.lit("Neu"), c("location"))
     found = _telling(spark, d).select("id", "title", body.alias("body"), pages.detail_location(body).alias("location"))
     return found.select("id", "location", pages.detail_company(c("body"), c("title"), c("location")).alias("company"))
 
@@ -66,7 +66,9 @@ def result_card_fields(spark: SparkSession, d: str) -> DataFrame:
 # The same pages of every job: a NULL or blank field has no line, and what the parser then reads is stated as lists of lines.
 _EVERY = f"(SELECT id, {S.collapse('title')} AS t, {_CO} AS co, {_LO} AS lo FROM jobs)"
 _at = lambda lines, n: f"coalesce(({lines})[{n}], '')"
-_noise = lambda x: f"{S.slug(x)} IN ({', '.join(map(repr, pages.NOISE_SLUGS))}) OR regexp_matches({x}, '\\b\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}\\b')"
+_DATE = r"regexp_matches({x}, '\b\d{{2}}\.\d{{2}}\.\d{{4}}\b') OR lower({x}) IN ('neu', 'aktualisiert')"
+_listing_noise = lambda x: f"{S.slug(x)} IN ({', '.join(map(repr, pages.LISTING_NOISE))}) OR {_DATE.format(x=x)}"
+_detail_noise = lambda x: f"lower({x}) IN ({', '.join(map(repr, pages.DETAIL_NOISE))}) OR {_DATE.format(x=x)}"
 
 
 def _shown(name: str, label: str = "") -> Column:
@@ -90,22 +92,22 @@ def listing_row_positional_every(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("id", pages.listing_row(body, c("title")).alias("f")).select("id", "f.*")
 
 
-_CARD = f"list_filter([co, lo], lambda x: x <> '' AND NOT ({_noise('x')}))"
+_CARD = f"list_filter([co, lo], lambda x: x <> '' AND NOT ({_listing_noise('x')}))"
 
 
 @R.add(f"SELECT id, {_at(_CARD, 1)} AS company, {_at(_CARD, 2)} AS location, "
        f"CASE WHEN {_at(_CARD, 1)} = '' THEN '' WHEN {_at(_CARD, 1)} = co THEN '01.02.2026' ELSE '02.02.2026' END AS published_at FROM {_EVERY}")
 def listing_card_fields_every(spark: SparkSession, d: str) -> DataFrame:
     """By position alone: without a company the place is read as the company, and the date is the first behind it."""
-    body = F.concat_ws("\n", F.lit("Neu"), _shown("title"), F.lit("Merken"), _shown("company"), F.lit(" 01.02.2026 "), _shown("location"), F.lit("02.02.2026"))
+    body = F.concat_ws("\n", F.lit("Neu"), _shown("title"), F.lit("TOP-Job"), _shown("company"), F.lit(" 01.02.2026 "), _shown("location"), F.lit("02.02.2026"))
     return table(spark, d, "jobs").select("id", pages.listing_card(body, c("title")).alias("f")).select("id", "f.*")
 
 
-@R.add(f"SELECT id, CASE WHEN {_noise('lo')} THEN '' ELSE lo END AS location, CASE WHEN co IN (t, lo) OR {_noise('co')} OR contains(co, '@') "
+@R.add(f"SELECT id, CASE WHEN {_detail_noise('lo')} THEN '' ELSE lo END AS location, CASE WHEN co IN (t, lo) OR {_detail_noise('co')} OR contains(co, '@') "
        f"OR regexp_matches(lower(co), '^(e-mail|web):') THEN '' ELSE co END AS company FROM {_EVERY}")
 def detail_page_fields_every(spark: SparkSession, d: str) -> DataFrame:
     """A line that repeats the title or the place is no company."""
-    body = F.concat_ws("\n", _shown("title"), F.lit("E-Mail: x@y.example"), F.lit("aktualisiert"), _shown("company"), F.lit("Standort:"), F.lit("Neu"), _shown("location"))
+    body = F.concat_ws("\n", _shown("title"), F.lit("E-Mail: x@y.example"), F.lit("Jetzt bewerben"), _shown("company"), F.lit("Standort:"), F.lit("Neu"), _shown("location"))
     found = table(spark, d, "jobs").select("id", "title", body.alias("body"), pages.detail_location(body).alias("location"))
     return found.select("id", "location", pages.detail_company(c("body"), c("title"), c("location")).alias("company"))
 
@@ -170,28 +172,35 @@ def load_more_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", m["position"].alias("position"), m["name"].alias("name"))
 
 
-@R.add("""SELECT agency_id, 'https://' || h || '/kontakt|https://' || h || '/contact|https://' || h || '/impressum|https://' || h || '/about|https://' || h || '/jobs?x=1' AS pages
-    FROM (SELECT agency_id, """ + S.host("website") + " AS h FROM gelbeseiten_agencies) WHERE h <> ''")
+@R.add("SELECT agency_id, array_to_string(list_transform(['kontakt', 'kontakt/', 'contact', 'contact/', 'contact-us', 'impressum', 'impressum/', 'Ueber-Uns?x=1'], "
+       "lambda p: 'https://' || h || '/' || p), '|') AS pages FROM (SELECT agency_id, " + S.host("website") + " AS h FROM gelbeseiten_agencies) WHERE h <> ''")
 def contact_page_candidates(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.functions.urls import website_host
 
     rows = table(spark, d, "gelbeseiten_agencies").select("agency_id", website_host(c("website")).alias("h")).where("h <> ''")
     page = F.concat(F.lit("https://"), c("h"), F.lit("/"))
-    html = F.lit('<a href="/kontakt#top">k</a><a href="jobs?x=1">j</a><a href="https://other.test/kontakt">o</a><a href="/news">n</a>')
+    html = F.lit('<a href="/kontakt#top">k</a><a href="Ueber-Uns?x=1">j</a><a href="jobs?x=1">j</a><a href="https://other.test/kontakt">o</a><a href="/news">n</a>')
     return rows.select("agency_id", F.array_join(pages.contact_candidates(page, html), "|").alias("pages"))
 
 
-@R.add("SELECT agency_id, 'info@' || h AS email FROM (SELECT agency_id, " + S.host("website") + " AS h FROM gelbeseiten_agencies) WHERE h <> '' AND regexp_matches(h, '^[a-z0-9.-]+[.][a-z]{2,}$')")
+# in turn: the mailbox name, the kind of page, the first seen of equals, the own domain and the page budget decide
+@R.add("SELECT agency_id, ['info@' || h, 'x@' || h, 'aa@' || h, 'jobs@' || h, 'a@other.test'][agency_id % 5 + 1] AS email FROM (SELECT agency_id, "
+       + S.host("website") + " AS h FROM gelbeseiten_agencies) WHERE h <> '' AND regexp_matches(h, '^[a-z0-9.-]+[.][a-z]{2,}$')")
 def best_website_email(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.functions.urls import website_host
 
     rows = table(spark, d, "gelbeseiten_agencies").select("agency_id", website_host(c("website")).alias("h"))
     rows = rows.where(c("h").rlike("^[a-z0-9.-]+[.][a-z]{2,}$"))
-    page = lambda url, body: F.struct(F.lit(url).alias("url"), body.alias("html"))
-    visited = F.array(
-        page("https://x/", F.concat(F.lit("shop@"), c("h"), F.lit(" kontakt@other.test logo@2x.png"))),
-        page("https://x/kontakt", F.concat(F.lit("<a href='mailto:INFO@"), c("h"), F.lit("'>mail</a>"))),
-    )
+    page = lambda url, *parts: F.struct(F.lit(url).alias("url"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("html"))
+    h = c("h")
+    cases = [
+        [page("https://x/", "shop@", h, " kontakt@other.test logo@2x.png"), page("https://x/kontakt", "<a href='mailto:INFO@", h, "'>mail</a>")],
+        [page("https://x/jobs", "jobs@", h, " career@", h), page("https://x/Impressum", "x@", h)],
+        [page("https://x/", "aa@", h), page("https://x/y", "bb@", h, " info@other.test")],
+        [page("https://x/", "info@other.test jobs@", h), page("https://x/z", "kontakt@other.test")],
+        [page("https://x/", "a@other.test"), page("https://x/2", "bbb@other.test"), page("https://x/3", ""), page("https://x/4", "noreply@other.test"), page("https://x/5", "info@", h)],
+    ]
+    visited = F.array(*[F.array(*x) for x in cases])[c("agency_id") % len(cases)]
     return rows.select("agency_id", pages.best_page_email(visited, c("h")).alias("email"))
 
 

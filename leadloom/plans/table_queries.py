@@ -227,19 +227,34 @@ def category_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve_category(labels, catalog).select("id", c("key").alias("category_key"))
 
 
-_OK = f"CASE WHEN {S.is_email('employer_email')} THEN lower(trim(employer_email)) END"
+_MAIL = S.collapse("employer_email")
+_LOCAL = f"lower(split_part({_MAIL}, '@', 1))"
+_SCORE = (
+    "CASE " + " ".join(f"WHEN contains({_LOCAL}, '{w}') THEN {100 - i}" for i, w in enumerate(enrich.PREFERRED_LOCAL)) + " ELSE 0 END"
+    f" - CASE WHEN {' OR '.join(f"contains({_LOCAL}, '{w}')" for w in enrich.LOW_LOCAL)} THEN 50 ELSE 0 END + greatest(20 - length({_LOCAL}), 0)"
+)
 
 
 @R.add(
-    f"""WITH h AS (SELECT {S.fold('company')} AS k, {_OK} AS e, updated_at, employer_email IS NULL AND email_enrichment_attempt_count > 0 AS f FROM jobs),
-    a AS (SELECT k, arg_max(e, (updated_at, e)) FILTER (WHERE e IS NOT NULL) AS known_email, bool_or(f) AS had_failure FROM h WHERE k <> '' GROUP BY k)
-    SELECT j.id, CASE WHEN a.known_email IS NOT NULL THEN 'reuse' WHEN a.had_failure THEN 'skip' ELSE 'lookup' END AS action, a.known_email
-    FROM jobs j LEFT JOIN a ON a.k = {S.fold('j.company')} WHERE j.employer_email IS NULL"""
+    f"""WITH last AS (SELECT source, arg_max(id, (created_at, id)) AS run FROM scrape_runs WHERE status = 'completed' GROUP BY 1),
+    x AS (SELECT j.*, {S.fold('company')} AS k, {S.is_email(_MAIL)} AS ok, coalesce(l.run = j.last_run_id, false) AS newest FROM jobs j LEFT JOIN last l ON l.source = j.source),
+    b AS (SELECT id, k FROM x WHERE newest AND coalesce(NOT ok, true) AND k <> ''),
+    h AS (SELECT k, {_MAIL} AS e, ok, updated_at, {_SCORE} AS s, coalesce(email_enrichment_unusable, false) OR coalesce(email_enrichment_attempt_count, 0) > 0
+            OR email_enrichment_last_attempt_at IS NOT NULL AS f FROM x WHERE k <> '' AND id NOT IN (SELECT id FROM b)),
+    a AS (SELECT k, arg_max(e, (s, updated_at, e)) FILTER (WHERE ok) AS known_email, bool_or(f) AS had_failure FROM h GROUP BY k)
+    SELECT b.id, CASE WHEN a.known_email IS NOT NULL THEN 'reuse' WHEN a.had_failure THEN 'skip' ELSE 'lookup' END AS action, a.known_email
+    FROM b LEFT JOIN a ON a.k = b.k"""
 )
 def company_history_action(spark: SparkSession, d: str) -> DataFrame:
-    jobs = table(spark, d, "jobs")
-    history = enrich.company_history(jobs, text.fold(c("company")))
-    rows = jobs.where("employer_email IS NULL").withColumn("company_key", text.fold(c("company"))).join(history, "company_key", "left")
+    """What to do with the newest run's rows without an address, by the history of their company; a row is no part of
+    its own history."""
+    runs = table(spark, d, "scrape_runs").where("status = 'completed'")
+    last = runs.groupBy("source").agg(F.max(F.struct("created_at", "id"))["id"].alias("run"))
+    jobs = table(spark, d, "jobs").withColumn("company_key", text.fold(c("company"))).where("company_key <> ''").join(last, "source", "left")
+    missing = ~F.coalesce(is_email(text.collapse_ws(c("employer_email"))), F.lit(False))
+    jobs = jobs.withColumn("in_batch", F.coalesce(c("run") == c("last_run_id"), F.lit(False)) & missing)
+    history = enrich.company_history(jobs.where("NOT in_batch"), c("company_key"))
+    rows = jobs.where("in_batch").select("id", "company_key").join(history, "company_key", "left")
     action = F.when(c("known_email").isNotNull(), "reuse").when(c("had_failure"), "skip").otherwise("lookup")
     return rows.select("id", action.alias("action"), "known_email")
 
