@@ -11,7 +11,7 @@ def upsert(
 ) -> DataFrame:
     """``current`` with the rows of ``batch`` inserted or replaced by ``key``.
 
-    Within the batch the last row in ``order`` wins. Columns the batch lacks keep their stored value; those in
+    Within the batch the first row in ``order`` wins, so the latest row wins with a descending order. Columns the batch lacks keep their stored value; those in
     ``preserve`` also do where the batch holds NULL. Rows of the batch with a NULL key are refused (dropped).
     """
     w = Window.partitionBy(*key).orderBy(*order)

@@ -92,17 +92,20 @@ def run_summary(classified: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def ingest(payloads: DataFrame, stored: DataFrame, source: str, order: list[Column], limit: int | None = None, payload: str = "job_payload") -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(payloads: DataFrame, stored: DataFrame, source: str, order: list[Column], limit: int | None = None, payload: str = "job_payload", delivered: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs, snapshots, classified) of one delivery of a source.
 
-    Raw items are normalised and classified in one pass; valid ones are limited by company, then upserted into
-    ``stored`` (the last of a listing in ``order`` wins, known addresses are kept) and written as snapshot rows of
-    raw item and canonical fields. ``classified`` feeds ``run_summary``.
+    Raw items are normalised and classified in one pass; valid ones are limited by company (the first in ``delivered``
+    order, which a limit needs), then upserted into ``stored`` (the first of a listing in ``order`` wins, so give the
+    latest first; known addresses are kept) and written as snapshot rows of raw item and canonical fields.
+    ``classified`` feeds ``run_summary``.
     """
+    if limit is not None and not delivered:
+        raise ValueError("a limit needs the order of delivery")
     items = normalized(raw_items(payloads, payload, source), source)
     flat = items.select("*", *[F.col(f"job.{c}").alias(c) for c in JOB_COLUMNS if c not in payloads.columns])
     classified = classify(flat)
-    valid = limit_companies(classified.where("reason = 'valid'"), order, limit)
+    valid = limit_companies(classified.where("reason = 'valid'"), delivered or order, limit)
     jobs = upsert(
         stored, valid, ["source", "detail_url"], order, preserve=["employer_email", "employer_phone", "employer_address", "employer_website"]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +43,22 @@ def streaming_append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS hour_us, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 )
 def streaming_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed counts with a watermark, complete over the available input."""
-    name = f"hourly_{uuid.uuid4().hex}"
+    """Windowed counts with a watermark. Every batch overwrites the stored counts of the windows it touched: updates are
+    appended with their batch number and the last one of a window counts."""
+    folder = shared_folder(spark, "hourly")
     ts = F.col("ts").cast("timestamp")
     counts = (
         _stream(spark, sf_dir, "events").withColumn("at", ts).withWatermark("at", "1 day")
         .groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.unix_micros("w.start").alias("hour_us"), "event_type", "n")
     )
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_micros("w.start").alias("hour_us"), "event_type", "n")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    counts.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    return stored.groupBy("hour_us", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 QUERIES, ORACLE = R.queries, R.sql

@@ -343,12 +343,11 @@ _RULES = [("all", None, True), ("hzz only", "hzz", True), ("off", "hzz", False),
     SELECT r.id AS run_id, rules.name AS rule FROM scrape_runs r JOIN rules ON enabled AND (rules.source IS NULL OR rules.source = r.source)"""
 )
 def rule_theta_join(spark: SparkSession, d: str) -> DataFrame:
-    """Rules without a source match every run: two equi joins in place of one on an OR."""
-    rules = spark.createDataFrame(_RULES, "rule string, source string, enabled boolean").where("enabled").drop("enabled")
-    runs = table(spark, d, "scrape_runs").select(c("id").alias("run_id"), "source")
-    specific = runs.join(rules.where("source IS NOT NULL"), "source").select("run_id", "rule")
-    general = runs.withColumn("one", F.lit(1)).join(rules.where("source IS NULL").select("rule", F.lit(1).alias("one")), "one")
-    return specific.unionByName(general.select("run_id", "rule"))
+    """Rules without a source match every run. The few rules travel with the plan as a literal array, so no run is moved."""
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(source).cast("string").alias("source")) for name, source, on in _RULES if on])
+    match = lambda r: r["source"].isNull() | (r["source"] == c("source"))
+    runs = table(spark, d, "scrape_runs")
+    return runs.select(c("id").alias("run_id"), F.explode(F.filter(rules, match)).alias("r")).select("run_id", c("r.rule").alias("rule"))
 
 
 @R.add(

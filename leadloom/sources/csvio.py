@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import casefold_key, fold_keep
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, missing_as_empty: bool = False) -> DataFrame:
-    """Quoted fields may hold line breaks; an empty cell is NULL, or the empty text if asked.
+def read_csv(
+    spark: SparkSession, path: str, columns: list[str] | None = None, missing_as_empty: bool = False, line_breaks: bool = True
+) -> DataFrame:
+    """An empty cell is NULL, or the empty text if asked. Quoted fields may hold line breaks, for which a file must be
+    read in one piece; files without any are split over the cluster with ``line_breaks=False``.
 
     With ``columns`` the schema is fixed and no file is opened to infer it; a header-only file gives no rows.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).option(
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("enforceSchema", False).option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False)
     if columns:
@@ -22,11 +25,13 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
     return out.na.fill("") if missing_as_empty else out
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header, all fields quoted, NULL as the empty text; one folder of part files."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write.mode(mode).option(
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", byte_order_mark: bool = False) -> None:
+    """Header, all fields quoted, NULL as the empty text; one folder of part files, each with a mark before its header
+    if asked (spreadsheets need it to read UTF-8)."""
+    names = [f"\ufeff{c}" if byte_order_mark and i == 0 else c for i, c in enumerate(df.columns)]
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(df.columns, names, strict=True)]).write.mode(mode).option(
         "header", True
-    ).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+    ).option("quoteAll", not byte_order_mark).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
 
