@@ -10,9 +10,10 @@ PORTAL_HOSTS = ("hzz.example", "mojposao.example", "meinestadt.example", "gelbes
 # File endings that make an address-like string an asset name.
 ASSET_TLDS = r"(png|jpe?g|gif|webp|svg|ico|bmp|tiff?|css|js|pdf)"
 
-_LABEL = r"[\p{L}\p{N}]([\p{L}\p{N}-]*[\p{L}\p{N}])?"
-HOST_PATTERN = rf"^({_LABEL}\.)+\p{{L}}{{2,24}}$"
-EMAIL_PATTERN = rf"^[\p{{L}}\p{{N}}._%+'-]+@({_LABEL}\.)+\p{{L}}{{2,24}}$"
+# a label starts and ends with a letter or digit; possessive, so no position is tried twice
+_LABEL = r"[\p{L}\p{N}][\p{L}\p{N}-]*+(?<!-)"
+HOST_PATTERN = rf"^(?:{_LABEL}\.)+\p{{L}}{{2,24}}$"
+EMAIL_PATTERN = rf"^[\p{{L}}\p{{N}}._%+'-]++@(?:{_LABEL}\.)+\p{{L}}{{2,24}}$"
 
 
 def blank_to_null(c: Column) -> Column:
