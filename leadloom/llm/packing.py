@@ -1,11 +1,14 @@
 """Filling fixed-capacity containers with items (problem 8).
 
 Only the histogram of item lengths decides the packing, and it has at most ``capacity`` entries however many
-items there are. ``pack_histogram`` runs a best-fit decreasing over it, moving whole groups of equal bins at a
-time: items go to the open bins with the least sufficient room; when none has room, new bins of the permitted
-size with the least waste are opened, and in the end each bin is cut down to the smallest permitted size that
-holds its contents. The resulting plan has a few entries per length. The items of a length are numbered by a
-distributed count and take the plan's slots in order, so neither texts nor ids meet in one place.
+items there are. With one permitted size, ``pack_histogram`` runs a best-fit decreasing over it, moving whole groups
+of equal bins at a time: items go to the open bins with the least sufficient room, and new bins are opened when none
+has room. With several sizes, ``pack_sizes`` chooses size and contents together: for the longest length left it
+compares all sizes and numbers of copies, each filled up best-fit with the lengths left, opens the bin size of least
+waste for its content, and repeats the pattern as often as the items allow. In the end each bin is cut down to the
+smallest permitted size that holds its contents. The resulting plan has a few entries per length. The items of a
+length are numbered by a distributed count and take the plan's slots in order, so neither texts nor ids meet in one
+place.
 
 An item larger than the largest container is split: full containers of its own and a rest that is packed like
 an item. Nothing else is ever split.
@@ -14,6 +17,7 @@ an item. Nothing else is ever split.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -47,14 +51,50 @@ def token_count(column, path: str = TOKENIZER):  # noqa: ANN001, ANN201
     return F.pandas_udf(count, "long")(column)
 
 
+def pack_sizes(histogram: dict[int, int], capacities: tuple[int, ...], copies: int = 16) -> list[tuple[int, int, dict[int, int]]]:
+    """``pack_histogram`` for several sizes; of each size the ``copies`` largest numbers of the longest length are tried."""
+    sizes = sorted(set(capacities))
+    left = {n: k for n, k in histogram.items() if k}
+    lengths = sorted(left)
+    out: list[tuple[int, int, dict[int, int]]] = []
+    while lengths:
+        longest = lengths[-1]
+        best: tuple[float, int, dict[int, int]] | None = None
+        for size in (c for c in reversed(sizes) if c >= longest):  # of equal waste the larger size
+            most = min(left[longest], size // longest)
+            for each in range(most, max(0, most - copies), -1):
+                held, room = {longest: each}, size - each * longest
+                at = bisect_right(lengths, min(room, longest - 1)) - 1
+                while at >= 0:
+                    n = lengths[at]
+                    held[n] = min(room // n, left[n])
+                    room -= held[n] * n
+                    at = min(at, bisect_right(lengths, room)) - 1 if room >= lengths[0] else -1
+                if best is None or room / size < best[0]:
+                    best = (room / size, size, held)
+                if not room:
+                    break
+            if best[0] == 0:
+                break
+        _, _, held = best
+        bins = min(left[n] // k for n, k in held.items())
+        used = sum(n * k for n, k in held.items())
+        out.append((next(c for c in sizes if c >= used), bins, held))
+        for n, k in held.items():
+            left[n] -= bins * k
+            if not left[n]:
+                lengths.pop(bisect_right(lengths, n) - 1)
+    return out
+
+
 def pack_histogram(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[tuple[int, int, dict[int, int]]]:
     """[(capacity, bins, {length: items per bin})] that packs ``histogram`` (length -> items).
 
-    Lengths must lie in 1..max(capacities). Deterministic; the number of entries is at most about three per
-    length.
+    Lengths must lie in 1..max(capacities). Deterministic; the number of entries is at most a few per length.
     """
-    sizes = sorted(set(capacities))
-    largest = sizes[-1]
+    if len(set(capacities)) > 1:
+        return pack_sizes(histogram, capacities)
+    largest = max(capacities)
     rooms: list[list[tuple[int, dict[int, int]]]] = [[] for _ in range(largest + 1)]  # by room left
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
@@ -73,21 +113,13 @@ def pack_histogram(histogram: dict[int, int], capacities: tuple[int, ...]) -> li
             rooms[room - each * length].append((bins, put))
             left -= each * bins
         if left:
-            # the permitted size that wastes least per token when filled with this length alone; ties: the larger
-            cost = {c: (c % length) / c for c in sizes if c >= length}
-            size = max(cost, key=lambda c: (-cost[c], c))
-            each = size // length
+            each = largest // length
             full, rest = divmod(left, each)
             if full:
                 rooms[largest - each * length].append((full, {length: each}))
             if rest:
                 rooms[largest - rest * length].append((1, {length: rest}))
-    out = []
-    for room, groups in enumerate(rooms):
-        used = largest - room
-        fit = next((c for c in sizes if c >= used), largest)
-        out.extend((fit, bins, held) for bins, held in groups)
-    return out
+    return [(largest, bins, held) for groups in rooms for bins, held in groups]
 
 
 class Slots:

@@ -48,8 +48,8 @@ def p1_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("record", "street", "house", "town", "place")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Employers of both Croatian listings bridge spellings; only leads and hzz jobs are paired."""
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leads, jobs of both Croatian listings, which bridge spellings, and the entities of all of them."""
     leads = table(spark, sf_dir, "hzz_ugostitelji_radnici_u_turizmu").select(
         F.concat(F.lit("l"), F.col("lead_id").cast("string")).alias("rid"), "lead_id", "company",
         place_of(F.col("city")).alias("place"),
@@ -59,7 +59,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         place_of(F.col("location"), F.col("employer_address")).alias("place"),
     )
     both = leads.select("rid", "company", "place").unionByName(jobs.select("rid", "company", "place"))
-    entities = name_entities(both, "rid", "company", "place")
+    return leads, jobs, name_entities(both, "rid", "company", "place")
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership: one row for each lead (l...) and job (j...) whose employer is told apart."""
+    return _named(spark, sf_dir)[2].select(F.col("rid").alias("record"), "entity")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads, jobs, entities = _named(spark, sf_dir)
     return entity_pairs(entities, leads, jobs.where("source = 'hzz'"), "lead_id", "job_id", "company")
 
 
@@ -83,6 +92,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_source_pairs(members).select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership: one row for each job whose employer is told apart."""
+    members, _ = match_employers(_employers(spark, sf_dir))
+    return members.select(F.col("rid").alias("job_id"), "source", "entity")
+
+
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with a confidence: the pair's own probability, else the weakest link of its entity."""
     members, links = match_employers(_employers(spark, sf_dir))
@@ -147,9 +162,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_places": p1_places,
     "p2_found": p2_found,
+    "p2_entities": p2_entities,
     "p3_found": p3_found,
     "p3_plain_values": p3_plain_values,
     "p5_found": p5_found,
+    "p5_members": p5_members,
     "p5_confidence": p5_confidence,
     "p7_found": p7_found,
     "p7_consensus_values": p7_consensus_values,
