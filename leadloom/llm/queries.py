@@ -15,7 +15,7 @@ from leadloom.llm.packing import pack, token_count
 from leadloom.llm.prose import keyword_pages
 from leadloom.llm.scripts import confusable_values
 from leadloom.llm.survivor import surviving_values
-from leadloom.session import spread, table
+from leadloom.session import cut, spread, table
 
 CONTACTS = ["employer_email", "employer_website", "employer_phone"]
 
@@ -58,8 +58,8 @@ def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         F.concat(F.lit("j"), F.col("id")).alias("rid"), F.col("id").alias("job_id"), "source", "company",
         place_of(F.col("location"), F.col("employer_address")).alias("place"),
     )
-    both = leads.select("rid", "company", "place").unionByName(jobs.select("rid", "company", "place"))
-    return leads, jobs, name_entities(both, "rid", "company", "place")
+    both = cut(leads.select("rid", "company", "place").unionByName(jobs.select("rid", "company", "place")))
+    return leads, jobs, cut(name_entities(both, "rid", "company", "place"))
 
 
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
