@@ -7,8 +7,8 @@ and each noise atom is; a Viterbi pass over the same lattice then picks the like
 single atoms, so nothing inside quotes is ever cut.
 
 The learned model only holds shapes, never values. It is estimated from every distinct shape of the column
-with its count, in Spark; only the shape frequencies (at most ``MAX_SHAPES``, rarer ones fall back to a
-length prior and are still segmented) reach the driver.
+with its count, in Spark. The frequencies of all shapes and atoms stay in a table that is joined with the lattices
+that use them, so none is left out; only the two sums of the frequencies reach the driver.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.session import cut
-
-MAX_SHAPES = 20_000
-MAX_ATOMS_PER_VALUE = 14
+from leadloom.session import cut, shuffled
 
 _EMAIL = re.compile(r"[^\s@,;|/<>\"'():\[\]]+@[^\s@,;|/<>\"'():\[\]]+\.[^\s@,;|/<>\"'():\[\].]+\Z")
 _EMAIL_LEX = re.compile(r"\"[^\"]*\"|[^\s,;|/<>\"'():\[\]，；、｜]+|\s+|.", re.S)
 _PHONE_LEX = re.compile(r"\"[^\"]*\"|\d+|[^\W\d_]+\.?:?|[^\S\r\n]*[/,;|&][^\S\r\n]*|\s+|.", re.S)
 _PHONE_SPAN = re.compile(r"(?:\+|\(\+?)?d\d+(?:[ ()/.\-]{0,3}d\d+)*\Z")
 _PHONE_START = ("d", "+", "(")
+_PHONE_GAP = re.compile(r"(?:\+|\(\+?)?\Z|.*\d[^\d]{0,3}\Z", re.S)  # what may still become a number
 
 
 def _email_atoms(text: str) -> list[tuple[str, str]]:
@@ -80,14 +78,14 @@ def _value_spans(kind: str, classes: list[str]) -> dict[int, list[tuple[int, str
             spans[i] = [(i + 1, c)]
         elif kind == "phone" and c[0] in _PHONE_START and (c[0] != "d" or c[1:].isdigit()):
             here, shape, digits = [], "", 0
-            for j in range(i, min(len(classes), i + MAX_ATOMS_PER_VALUE)):
+            for j in range(i, len(classes)):
                 cj = classes[j]
                 if cj[0] == "d" and cj[1:].isdigit():
                     digits += int(cj[1:])
                 elif cj not in ("+", "(", ")", "/", " / ", "-", ".", " ") or (cj == "+" and digits):
                     break
                 shape += cj
-                if digits > 16:
+                if digits > 16 or not _PHONE_GAP.match(shape):
                     break
                 if cj[0] == "d" and digits >= 5 and _PHONE_SPAN.match(shape):
                     here.append((j + 1, shape))
@@ -97,11 +95,12 @@ def _value_spans(kind: str, classes: list[str]) -> dict[int, list[tuple[int, str
 
 
 class SegmentModel:
-    """Log-probabilities of value shapes and noise atoms with a length-based backoff."""
+    """Log-probabilities of value shapes and noise atoms with a length-based backoff.
+
+    ``counts`` holds what one lattice uses, ``totals`` the sums over the whole column.
+    """
 
-    def __init__(self, counts: dict[tuple[str, str], float] | None = None):
-        counts = counts or {}
-        totals = {k: sum(v for (kind, _), v in counts.items() if kind == k) for k in ("v", "n")}
+    def __init__(self, counts: dict[tuple[str, str], float], totals: dict[str, float]):
         self.total = totals
         self.known = {key: math.log(c / (totals[key[0]] + 50.0)) for key, c in counts.items() if c > 1e-6}
         self.tie = math.log(0.5)
@@ -197,49 +196,93 @@ def _shapes(df: DataFrame, kind: str) -> DataFrame:
     return df.mapInPandas(lex, "shape string, n double").groupBy("shape").agg(F.sum("n").alias("n"))
 
 
-def learn(df: DataFrame, column: str, kind: str, iterations: int = 3) -> SegmentModel:
-    """EM over every non-blank value of ``column``."""
+def _used(shapes: DataFrame, kind: str) -> DataFrame:
+    """(id, what, shape): the value shapes and noise atoms in the lattice of each shape, each once."""
+
+    def use(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for at, shape in zip(b["id"], b["shape"], strict=True):
+                classes = shape.split("\x1f")
+                values = {s for here in _value_spans(kind, classes).values() for _, s in here}
+                rows += [(at, "v", s) for s in values] + [(at, "n", c) for c in set(classes)]
+            yield pd.DataFrame(rows, columns=["id", "what", "shape"])
+
+    return shapes.select("id", "shape").mapInPandas(use, "id long, what string, shape string")
+
+
+def _models(b: pd.DataFrame, totals: dict[str, float]) -> Iterator[SegmentModel]:
+    """The model of each row of a batch, from its ``counts``."""
+    for counts in b["counts"]:
+        known = {} if counts is None else {(c["what"], c["shape"]): c["n"] for c in counts}
+        yield SegmentModel(known, totals)
+
+
+def learn(df: DataFrame, column: str, kind: str, iterations: int = 3) -> tuple[DataFrame, dict[str, float]]:
+    """EM over every non-blank value of ``column``.
+
+    Returns (id, shape, counts) of its distinct shapes, each with the frequencies its lattice uses, and their sums.
+    """
     values = df.select(F.col(column).alias("value")).where(F.trim("value") != "")
-    shapes = cut(_shapes(values, kind))
-    model = SegmentModel()
+    shapes = cut(_shapes(values, kind).select(F.xxhash64("shape").alias("id"), "shape", "n"))
+    used = cut(_used(shapes, kind))
+    weighted = shapes.withColumn("counts", F.lit(None).cast("array<struct<what:string,shape:string,n:double>>"))
+    totals = {"v": 0.0, "n": 0.0}
     for _ in range(iterations):
 
-        def e_step(batches: Iterable[pd.DataFrame], model: SegmentModel = model) -> Iterator[pd.DataFrame]:
-            acc: dict[tuple[str, str], float] = {}
+        def e_step(batches: Iterable[pd.DataFrame], totals: dict[str, float] = totals) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for shape, n in zip(b["shape"], b["n"], strict=True):
+                acc: dict[tuple[str, str], float] = {}
+                for shape, n, model in zip(b["shape"], b["n"], _models(b, totals), strict=True):
                     for what, s, p in expected_counts(kind, shape.split("\x1f"), model):
                         acc[what, s] = acc.get((what, s), 0.0) + p * n
-            rows = [(a, b, c) for (a, b), c in acc.items()]
-            yield pd.DataFrame(rows, columns=["what", "shape", "n"])
-
-        counts = (
-            shapes.mapInPandas(e_step, "what string, shape string, n double")
-            .groupBy("what", "shape")
-            .agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "what", "shape")
-            .limit(MAX_SHAPES)
-        )
-        model = SegmentModel({(r["what"], r["shape"]): r["n"] for r in counts.toLocalIterator()})
-    return model
+                yield pd.DataFrame([(a, b, c) for (a, b), c in acc.items()], columns=["what", "shape", "n"])
+
+        counts = cut(
+            weighted.mapInPandas(e_step, "what string, shape string, n double")
+            .groupBy("what", "shape").agg(F.sum("n").alias("n"))
+        )
+        totals = {"v": 0.0, "n": 0.0} | {r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
+        own = (
+            used.join(shuffled(counts), ["what", "shape"])
+            .groupBy("id").agg(F.collect_list(F.struct("what", "shape", "n")).alias("counts"))
+        )
+        weighted = cut(shapes.join(shuffled(own), "id", "left").select("id", "shape", "n", "counts"))
+    return weighted, totals
+
+
+def _decoded(weighted: DataFrame, totals: dict[str, float], kind: str) -> DataFrame:
+    """(id, spans): first atom and end of every value in the likeliest split of each shape."""
+
+    def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spans = [
+                [x for span in viterbi(kind, shape.split("\x1f"), model) for x in span]
+                for shape, model in zip(b["shape"], _models(b, totals), strict=True)
+            ]
+            yield pd.DataFrame({"id": b["id"], "spans": spans})
 
+    return weighted.mapInPandas(decode, "id long, spans array<int>")
 
-def _splitter(kind: str, model: SegmentModel):
-    """Vectorised Viterbi split of one column; equal shapes are decoded once per batch."""
 
-    def split(values: pd.Series) -> pd.Series:
-        known: dict[str, list[tuple[int, int]]] = {}
+def _shape_of(kind: str):
+    """Vectorised shape of a field."""
+
+    def shape(values: pd.Series) -> pd.Series:
+        return pd.Series(["\x1f".join(c for c, _ in _ATOMS[kind](v)) for v in values], dtype="object")
+
+    return shape
+
+
+def _cutter(kind: str):
+    """Vectorised cut of a field at the spans of its shape."""
+
+    def split(values: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for v in values:
-            if v is None or not v.strip():
-                out.append([])
-                continue
-            atoms = _ATOMS[kind](v)
-            key = "\x1f".join(c for c, _ in atoms)
-            if key not in known:
-                known[key] = viterbi(kind, [c for c, _ in atoms], model)
-            out.append([_item(kind, "".join(t for _, t in atoms[a:b])) for a, b in known[key]])
-        return pd.Series(out)
+        for v, s in zip(values, spans, strict=True):
+            atoms = [t for _, t in _ATOMS[kind](v)]
+            out.append([_item(kind, "".join(atoms[a:b])) for a, b in zip(s[::2], s[1::2], strict=True)])
+        return pd.Series(out, dtype="object")
 
     return split
 
@@ -252,12 +295,13 @@ def split_packed(df: DataFrame, id_col: str, fields: dict[str, str], iterations:
     """
     parts = []
     for column, kind in fields.items():
-        model = learn(df, column, kind, iterations)
-
-        udf = F.pandas_udf(_splitter(kind, model), "array<string>")
+        spans = _decoded(*learn(df, column, kind, iterations), kind)
+        shape, udf = F.pandas_udf(_shape_of(kind), "string"), F.pandas_udf(_cutter(kind), "array<string>")
         parts.append(
             df.where(F.trim(F.col(column)) != "")
-            .select(F.col(id_col), udf(F.col(column)).alias("items"))
+            .select(F.col(id_col), F.col(column).alias("_value"), F.xxhash64(shape(F.col(column))).alias("_shape"))
+            .join(shuffled(spans.withColumnRenamed("id", "_shape")), "_shape")
+            .select(F.col(id_col), udf("_value", "spans").alias("items"))
             .select(
                 id_col,
                 F.lit(column).alias("field_name"),

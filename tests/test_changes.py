@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators.multivalue import split_packed
+from leadloom.operators.multivalue import learn, split_packed
 from leadloom.operators.snapshots import json_content_hash, snapshot_changes
 
 RUNS = "id string, source string, status string, created_at int"
@@ -104,3 +104,20 @@ def test_split_packed_long_and_empty(spark):
     assert got[1, "email"] == [f"m{i}@x.example" for i in range(3000)] and len(got[1, "phone"]) == 100
     empty = spark.createDataFrame([], "id int, email string, phone string")
     assert split_packed(empty, "id", FIELDS).count() == 0
+
+
+def test_split_packed_number_of_many_atoms(spark):
+    """Digits written one by one: a number of 19 atoms stays one number."""
+    got = split(spark, [(1, None, "0 9 1 2 3 4 5 6 7 8", "", "", 0), (2, None, "036 123 4567, 0 9 1 2 3 4 5 6 7 9", "", "", 0)])
+    assert got[1, "phone"] == ["0912345678"] and got[2, "phone"] == ["0361234567", "0912345679"]
+
+
+def test_learn_keeps_every_atom(spark):
+    """More atoms and shapes than the driver was ever given (20,000): each has its learned weight."""
+    n = 20_500
+    word = F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), "0123456789", "abcdefghij")
+    df = spark.range(n).select(F.concat(word, F.lit(": 036 123 4567")).alias("phone"))
+    weighted, totals = learn(df, "phone", "phone", 1)
+    kept = weighted.select(F.explode("counts").alias("c")).select("c.*").distinct()
+    assert kept.where("what = 'n' AND shape LIKE '%:' AND n > 0.9").count() == n
+    assert totals["v"] == pytest.approx(n, rel=0.01)
