@@ -15,7 +15,7 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p5_found"])
 def test_nothing_is_broadcast(no_broadcast, name):
     out = queries.QUERIES[name](no_broadcast, DATA)
     assert out.count() > 0
