@@ -19,3 +19,10 @@ def no_broadcast(spark):
 def test_nothing_is_broadcast(no_broadcast, name):
     out = queries.QUERIES[name](no_broadcast, DATA)
     assert out.count() > 0
+
+
+def test_entities_cover_every_source(spark):
+    """p2_entities tells apart jobs of all sources, not of the two Croatian listings only."""
+    jobs = spark.read.parquet(f"{DATA}/jobs.parquet").selectExpr("concat('j', id) AS record", "source")
+    found = queries.p2_entities(spark, DATA).join(jobs, "record")
+    assert {r[0] for r in found.select("source").distinct().collect()} == {r[0] for r in jobs.select("source").distinct().collect()}
